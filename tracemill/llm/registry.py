@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard
+from . import bpe, jaccard, substring
 
 QUERIES = {
+    "op6_bpe": bpe.op6_bpe,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
 ORACLES = {
     "op9_ngram_jaccard": jaccard.ORACLE,
+    "op10_substring_dedup": substring.ORACLE,
 }
