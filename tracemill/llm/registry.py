@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, substring
+from . import bpe, jaccard, license, secret, substring, unigram, warc
 
 QUERIES = {
+    "op2_license_scan": license.op2_license_scan,
+    "op3_warc": warc.op3_warc,
+    "op4_secret_scan": secret.op4_secret_scan,
     "op6_bpe": bpe.op6_bpe,
+    "op8_token_counts": unigram.op8_token_counts,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
 ORACLES = {
+    "op2_license_scan": license.ORACLE,
+    "op3_warc": warc.ORACLE,
     "op9_ngram_jaccard": jaccard.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
 }
