@@ -19,6 +19,8 @@ STEP_TEXTS = 60_000
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
+_LETTER = np.ones(256, bool)
+_LETTER[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PRIME = np.uint64(0x9E3779B97F4A7C55)
@@ -67,13 +69,13 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", step_bytes: i
             at = to
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """The words of the texts that stand one after the other in data."""
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False) -> Words:
+    """The words of the texts that stand one after the other in data; with letters, a word is a run of ASCII letters and digits and all bytes beyond ASCII."""
     if lower:
         data = _LOWER[data]
     if not len(data):
         return Words(data, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64))
-    inside = _WORD[data]
+    inside = (_LETTER if letters else _WORD)[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begin, end = inside.copy(), inside.copy()
@@ -98,7 +100,7 @@ def hashes(words: Words) -> np.ndarray:
     value = words.data[base:].astype(np.uint64)
     value += np.uint64(1)
     value *= table[place]
-    value[place >= np.repeat(lengths, gaps)] = 0
+    value[place >= np.repeat(lengths, gaps)] = 0  # what stands between words
     out = np.add.reduceat(value, words.starts - base)
     return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
