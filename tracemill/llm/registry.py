@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, license, quality, secret, substring, unigram, warc
+from . import bpe, decontaminate, jaccard, license, quality, secret, substring, suffix_tree, unigram, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_license_scan": license.op2_license_scan,
     "op3_warc": warc.op3_warc,
     "op4_secret_scan": secret.op4_secret_scan,
+    "op5_lm_score": suffix_tree.op5_lm_score,
     "op6_bpe": bpe.op6_bpe,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_token_counts": unigram.op8_token_counts,
