@@ -140,14 +140,15 @@ def check_range(start: int | None, end: int | None, first: int, last: int) -> tu
 
 
 def clip(changes: DataFrame, start: int, end: int) -> DataFrame:
-    """time, handle, seq, value: the last value up to start at 0 for each handle, and every change in (start, end] at time - start.
+    """The last change up to start at time 0 for each handle, and every change in (start, end] at time - start; other columns as they are.
 
     One pass over the changes up to end: those up to start fold to one row a handle before they move.
     """
+    rest = [c for c in changes.columns if c not in ("time", "handle")]
     upto = changes.where(F.col("time") <= end)
-    seed = upto.where(F.col("time") <= start).groupBy("handle").agg(F.max_by(F.struct("seq", "value"), F.struct("time", "seq")).alias("x"))
-    seed = seed.select(F.lit(0).cast("long").alias("time"), "handle", "x.seq", "x.value")
-    return seed.unionByName(upto.where(F.col("time") > start).select((F.col("time") - start).alias("time"), "handle", "seq", "value"))
+    seed = upto.where(F.col("time") <= start).groupBy("handle").agg(F.max_by(F.struct(*rest), F.struct("time", "seq")).alias("x"))
+    seed = seed.select(F.lit(0).cast("long").alias("time"), "handle", "x.*")
+    return seed.unionByName(upto.where(F.col("time") > start).select((F.col("time") - start).alias("time"), "handle", *rest))
 
 
 def clip_handles(vars_: DataFrame, pattern: str | None) -> DataFrame:
