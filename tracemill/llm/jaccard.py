@@ -1,7 +1,7 @@
 """Operator 9: exact n-gram Jaccard join by vertical partitioning.
 
 The shingles of all documents have one global order: rising power of two of their document frequency, then hash. It is
-cut into fragments; a document is cut into segments by them, one per fragment. Only documents that share enough of
+cut into fragments, one per power; a document is cut into segments by them. Only documents that share enough of
 their shingles with others can have a partner, and only pairs that share a shingle of both prefixes (the rarest
 n - ceil(0.8 n) + 1 of n) can be similar. The overlap of a candidate pair is counted fragment by fragment, the partial
 counts are summed per pair, and 100 * overlap >= percent * union is tested in whole numbers.
@@ -32,9 +32,7 @@ from .common import documents, fragments, materialize, texts
 from .links import components
 
 _RUN = "part int, chunk long, hashes binary, places binary, counts binary, ids binary"
-_SET = "uid long, doc_id long, n long, sum1 long, sum2 long, weight double, prefix array<long>, prefix_at array<int>, shared array<long>, cut array<int>"
-#: Fragments of each power of two of the document frequency, by hash range.
-CUTS = 4
+_SET = "uid long, doc_id long, n long, sum1 long, sum2 long, weight double, prefix array<long>, prefix_at array<int>, alone int, shared array<long>, cut array<int>"
 
 
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,21 +122,21 @@ def _prefixes(percent: int):
         h, text, df, rank = h[by], text[by], df[by], rank[by]
         shared = np.bincount(text, minlength=m)
         edge = np.concatenate([[0], np.cumsum(shared)])
-        fragment = (rank * CUTS + (h >> np.uint64(62)).astype(np.int64)).astype(np.int32)
+        fragment = rank.astype(np.int32)
         need = (percent * n + 99) // 100
         weight = np.bincount(text, weights=df, minlength=m) / np.maximum(n, 1)
         out = []
         for t in range(m):
             uid, doc = (chunk << 16) | t, int(ids[t]) if known[t] else None
-            row = [uid, doc, int(n[t]), int(sum1[t]), int(sum2[t]), float(weight[t]), None, None, None, None]
+            row = [uid, doc, int(n[t]), int(sum1[t]), int(sum2[t]), float(weight[t]), None, None, None, None, None]
             if n[t] and shared[t] >= need[t]:
                 a, b = edge[t], edge[t + 1]
                 alone = int(n[t] - shared[t])  # these come first in the order
                 first = int(n[t] - need[t] + 1) - alone
                 own = h[a:b].view(np.int64)
-                row[6:] = own[:first], np.arange(alone, alone + first, dtype=np.int32), own, fragment[a:b]
+                row[6:] = own[:first], np.arange(alone, alone + first, dtype=np.int32), alone, own, fragment[a:b]
             out.append(row)
-        types = [pa.int64()] * 5 + [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        types = [pa.int64()] * 5 + [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in _SET.split(", ")])
 
     return run
@@ -175,20 +173,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     classes = able.groupBy("n", "sum1", "sum2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("class_id"))
     classes = materialize(classes)
     reps = able.join(classes.select(F.col("rep").alias("uid")), "uid")
-    reps = materialize(reps.select("uid", "n", "weight", "prefix", "prefix_at", "shared", "cut"))
+    reps = materialize(reps.select("uid", "n", "weight", "prefix", "prefix_at", "alone", "shared", "cut"))
     segments = reps.select("uid", F.explode(F.arrays_zip("cut", "shared")).alias("x")).groupBy("uid", F.col("x.cut").alias("fragment")).agg(F.collect_list("x.shared").alias("segment"))
     segments = materialize(segments)
 
-    posted = reps.select("uid", "n", "weight", F.explode(F.arrays_zip("prefix", "prefix_at")).alias("x")).select("uid", "n", "weight", F.col("x.prefix").alias("key"), F.col("x.prefix_at").alias("at"))
+    posted = reps.select("uid", "n", "weight", "alone", F.explode(F.arrays_zip("prefix", "prefix_at")).alias("x")).select("uid", "n", "weight", "alone", F.col("x.prefix").alias("key"), F.col("x.prefix_at").alias("at"))
     held = posted.groupBy("key").agg(F.count("*").alias("holders"), F.max_by("uid", F.struct("weight", -F.col("uid"))).alias("lead")).where("holders > 1").drop("holders")
     posted = materialize(posted.join(held, "key"))
     ends = lambda member, other: (F.least(member, other).alias("a"), F.greatest(member, other).alias("b"))
-    sizes = reps.select("uid", "n")
+    sizes = reps.select("uid", "n", "alone")
+
+    def enough(most, one, two):
+        """Whether an overlap of at most so much can make sets of these sizes similar."""
+        return (most > 0) & (100 * most >= percent * (one + two - most))
 
     def sized(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) with both sizes, where those allow the similarity."""
-        pairs = pairs.distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        """Distinct pairs (a, b) with both sizes, where those and the shingles that no other document has allow the similarity."""
+        pairs = pairs.distinct().join(sizes.toDF("a", "na", "ua"), "a").join(sizes.toDF("b", "nb", "ub"), "b")
+        return pairs.where(enough(F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub")), F.col("na"), F.col("nb"))).drop("ua", "ub")
 
     links = materialize(_verified(sized(posted.where("uid <> lead").select(*ends("uid", "lead"))), segments, percent))
     found = materialize(components(links)).toDF("uid", "component")
@@ -200,10 +202,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             break
         if last:
             # each against each of another component of its group, where the sizes and the places in the order allow it
-            one, two = (state.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("uid", "n", "at", "component"))) for i in "12")
-            rest = one.join(two, "key").where("uid1 < uid2 and component1 <> component2").where(100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-            most = F.least("at1", "at2") + 1 + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) - 1
-            rest = rest.where(100 * most >= percent * (F.col("n1") + F.col("n2") - most)).select(F.col("uid1").alias("a"), F.col("uid2").alias("b"))
+            one, two = (state.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("uid", "n", "alone", "at", "component"))) for i in "12")
+            before = F.least(F.col("at1") - F.col("alone1"), F.col("at2") - F.col("alone2"))
+            after = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+            rest = one.join(two, "key").where("uid1 < uid2 and component1 <> component2").where(enough(before + after, F.col("n1"), F.col("n2"))).select(F.col("uid1").alias("a"), F.col("uid2").alias("b"))
         else:
             # a second leader: the heaviest outside of the heaviest's component
             main = state.groupBy("key").agg(F.max_by("component", F.struct("weight", -F.col("uid"))).alias("main"))
