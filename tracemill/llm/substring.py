@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ GRAM = 5
 BITMAP_BITS = 1 << 26
 _LAST = np.iinfo(np.int64).max
 _SEED = "part int, hashes binary, many binary"
-_MATCH = "part int, hashes binary, places binary, starts binary, ids binary, sigs binary"
-_COVER = "sig long, starts binary"
+_MATCH = "part int, chunk long, hashes binary, places binary, starts binary, ids binary, sigs binary"
+_COVER = "chunk long, places binary, starts binary, sigs binary"
 
 
 def _anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +96,9 @@ def _windows(parts: int, window: int, bitmap):
     """documents -> the windows under shared anchors, by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments = bitmap.value
+        segments, chunk = bitmap.value, TaskContext.get().partitionId() << 24
         for batch, data, offsets in W.steps(batches):
+            chunk += 1
             words = W.split(data, offsets)
             h = W.hashes(words)
             anchor, whole = _anchors(h, words.first, window)
@@ -124,14 +126,14 @@ def _windows(parts: int, window: int, bitmap):
             for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:
                     used, place = np.unique(text[a:b], return_inverse=True)
-                    rows.append((p, key[a:b].tobytes(), place.astype(np.uint16).tobytes(), (start[a:b] - words.first[text[a:b]]).astype(np.uint32).tobytes(), ids[used].tobytes(), sigs[used].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32()] + [pa.binary()] * 5)], names=["part", "hashes", "places", "starts", "ids", "sigs"])
+                    rows.append((p, chunk, key[a:b].tobytes(), place.astype(np.uint16).tobytes(), (start[a:b] - words.first[text[a:b]]).astype(np.uint32).tobytes(), ids[used].tobytes(), sigs[used].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64()] + [pa.binary()] * 5)], names=["part", "chunk", "hashes", "places", "starts", "ids", "sigs"])
 
     return run
 
 
 def _covers(rows: pa.Table) -> pa.Table:
-    """All windows of one hash range -> for each text the starts of those that also start in a document with a smaller doc_id."""
+    """All windows of one hash range -> by step, those that also start in a document with a smaller doc_id."""
     runs = list(zip(*([np.frombuffer(x, t) for x in rows[c].to_pylist()] for c, t in (("hashes", np.uint64), ("places", np.uint16), ("starts", np.uint32), ("ids", np.int64), ("sigs", np.int64))), strict=True))
     h = np.concatenate([r[0] for r in runs])
     doc = np.concatenate([r[3][r[1]] for r in runs])
@@ -142,18 +144,24 @@ def _covers(rows: pa.Table) -> pa.Table:
     gone = np.empty(len(h), bool)
     gone[by] = own > np.repeat(least, np.diff(at, append=len(h)))
     del h, own, by, doc
-    sigs, starts, done = [], [], 0
-    for key, place, start, _, sig in runs:
+    out, done = [], 0
+    for chunk, (key, place, start, _, sig) in zip(rows["chunk"].to_pylist(), runs, strict=True):
         mask = gone[done : done + len(key)]
         done += len(key)
-        place, start = place[mask], start[mask]
-        by = np.argsort(place, kind="stable")
-        place, start = place[by], start[by]
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else [])
-        for a, b in zip(first, [*first[1:], len(place)], strict=True):
-            sigs.append(sig[place[a]])
-            starts.append(np.sort(start[a:b]).tobytes())
-    return pa.table({"sig": pa.array(sigs, pa.int64()), "starts": pa.array(starts, pa.binary())})
+        if mask.any():
+            used, place = np.unique(place[mask], return_inverse=True)
+            out.append((chunk, place.astype(np.uint16).tobytes(), start[mask].tobytes(), sig[used].tobytes()))
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] + [pa.binary()] * 3)], names=["chunk", "places", "starts", "sigs"])
+
+
+def _gathered(rows: pa.Table) -> pa.Table:
+    """All covers of one step of a task -> for each text the starts of its matched windows, in order."""
+    got = [(np.frombuffer(g, np.int64)[np.frombuffer(p, np.uint16)], np.frombuffer(s, np.uint32)) for p, s, g in zip(*(rows[c].to_pylist() for c in ("places", "starts", "sigs")), strict=True)]
+    sig, start = (np.concatenate(x) for x in zip(*got, strict=True))
+    by = np.lexsort((start, sig))
+    sig, start = sig[by], start[by]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    return pa.table({"sig": pa.array(sig[first]), "starts": pa.array([start[a:b].tobytes() for a, b in zip(first, [*first[1:], len(sig)], strict=True)], pa.binary())})
 
 
 def _removed(window: int):
@@ -164,9 +172,9 @@ def _removed(window: int):
             words = W.split(data, offsets)
             n = len(words.starts)
             change = np.zeros(n + 1, np.int64)
-            for t, runs in enumerate(batch.column("starts").to_pylist()):
-                if runs:
-                    start = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in runs])).astype(np.int64) + words.first[t]
+            for t, run in enumerate(batch.column("starts").to_pylist()):
+                if run:
+                    start = np.unique(np.frombuffer(run, np.uint32)).astype(np.int64) + words.first[t]
                     np.add.at(change, start, 1)
                     np.add.at(change, start + window, -1)
             kept = np.cumsum(change[:n]) == 0
@@ -212,7 +220,8 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     for part, bits in seeds.groupBy("part").applyInArrow(_shared(parts), "part int, bits binary").collect():
         segments[part] = np.frombuffer(bits, np.uint8)
     windows = signed.mapInArrow(_windows(parts, window, spark.sparkContext.broadcast(segments)), _MATCH)
-    covers = windows.groupBy("part").applyInArrow(_covers, _COVER).groupBy("sig").agg(F.collect_list("starts").alias("starts"))
+    covers = windows.groupBy("part").applyInArrow(_covers, _COVER).groupBy("chunk").applyInArrow(_gathered, "sig long, starts binary")
+    covers = covers.groupBy("sig").agg(F.first("starts").alias("starts"))  # repeated rows have the same ones
     joined = signed.join(covers.hint("shuffle_hash"), "sig", "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
