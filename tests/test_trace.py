@@ -120,3 +120,30 @@ def test_functions(spark):
     assert first(text.pack_supplement(F.lit(1), F.lit(7))) == 1031
     assert [first(text.real_text(F.lit(x))) for x in (0.1, 100000.0, 1e22)] == ["0.1", "100000", "1e+22"]
     assert first(bits.from_hex(F.lit("9c"))) == "10011100"
+
+
+def test_vcd(spark):
+    meta = spark.createDataFrame([(" today\n", "v", -10, 5)], "date string, version string, timescale_exp int, timezero long")
+    hier = spark.createDataFrame(
+        [(0, "scope", 0, None, "top", None, None, None), (1, "var", 16, None, "clk", 1, 1, None), (2, "var", 3, None, "r", 8, 2, None), (3, "attr", 0, 0, "note", None, None, 7), (4, "attr_end", None, None, None, None, None, None), (5, "upscope", None, None, None, None, None, None)],
+        "ord long, kind string, type_code int, subtype_code int, name string, length int, handle int, arg long",
+    )
+    lines = [r.line for r in T.header_lines(meta, hier, extensions=True).orderBy("ord").collect()]
+    assert lines == [
+        "$date today $end", "$version v $end", "$timezero 5 $end", "$timescale 100ps $end", "$scope module top $end", "$var wire 1 ! clk $end", "$var real 64 \" r $end",
+        "$attrbegin misc 00 note 7 $end", "$attrend $end", "$upscope $end", "$enddefinitions $end",
+    ]
+    changes = spark.createDataFrame(
+        [(5, 1, 0, "z", None, None, False), (5, 2, 0, "0.1", None, 0.1, False), (7, 3, 0, "01zu", None, None, False), (7, 4, 0, "", bytearray(b"a b"), None, True)],
+        "time long, handle int, seq long, value string, raw binary, real_value double, var_len boolean",
+    )
+    toggles = spark.createDataFrame([(0, 7, False), (1, 8, True)], "idx int, time long, active boolean")
+    body = [r.line for r in T.value_lines(changes, toggles).orderBy("time", "ord").collect()]
+    assert body == ["#5", "z!", 'r0.1 "', "#7", "$dumpoff $end", "p01zu #", r"sa\040b $"]
+
+
+def test_stems(spark):
+    stems = spark.createDataFrame([(1, "b.v", 10), (2, "a.v", 5), (3, "b.v", 12)], "ord long, path string, line long")
+    assert rows(T.source_stems(stems)) == [(1, "b.v", 10, 1, True), (2, "a.v", 5, 2, True), (3, "b.v", 12, 1, False)]
+    attrs = spark.createDataFrame([(0, 0, 3, "b.v", 1, None), (1, 0, 4, "", 10, 1)], "ord long, type_code int, subtype_code int, name string, arg long, arg_from_name long")
+    assert rows(T.resolve_stems(attrs)) == [(1, "b.v", 10)]

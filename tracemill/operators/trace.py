@@ -184,15 +184,66 @@ def variable_lines(vars_: DataFrame) -> DataFrame:
     return vars_.select("ord", F.format_string("$var %s %d %s %s $end", kind, size, text.vcd_id(F.col("handle")), F.col("name")).alias("line"))
 
 
-def value_lines(changes: DataFrame) -> DataFrame:
+def header_lines(meta: DataFrame, hier: DataFrame, extensions: bool = False) -> DataFrame:
+    """ord, line: a VCD header. Attributes are written with extensions only; a timescale out of range is 1ns; timezero only if not 0."""
+    scale = labels.timescale_text(F.col("timescale_exp"))
+    scale = F.when(scale == "Unknown", "1ns").otherwise(scale)
+    top = meta.select(
+        F.posexplode(
+            F.filter(
+                F.array(
+                    F.concat(F.lit("$date "), text.trimmed(F.col("date")), F.lit(" $end")), F.concat(F.lit("$version "), text.trimmed(F.col("version")), F.lit(" $end")),
+                    F.when(F.col("timezero") != 0, F.concat(F.lit("$timezero "), F.col("timezero"), F.lit(" $end"))), F.concat(F.lit("$timescale "), scale, F.lit(" $end")),
+                ),
+                lambda x: x.isNotNull(),
+            )
+        ).alias("pos", "line")
+    )
+    top = top.select((F.col("pos") - 100).cast("long").alias("ord"), "line")
+    end = meta.select(F.lit((1 << 63) - 1).alias("ord"), F.lit("$enddefinitions $end").alias("line"))
+    scope = F.concat(F.lit("$scope "), labels.label(F.col("type_code"), labels.VCD_SCOPE_TYPES, "module"), F.lit(" "), F.col("name"), F.lit(" $end"))
+    kinds = F.get(F.array(*map(F.lit, ["misc", "array", "enum", "class"])), F.col("type_code").cast("int"))
+    attr = F.format_string("$attrbegin %s %02x %s %d $end", kinds, F.col("subtype_code"), F.col("name"), F.col("arg"))
+    other = F.when(F.col("kind") == "scope", scope).when(F.col("kind") == "upscope", "$upscope $end")
+    if extensions:
+        other = other.when(F.col("kind") == "attr", attr).when(F.col("kind") == "attr_end", "$attrend $end")
+    rest = hier.where("kind <> 'var'").select("ord", other.alias("line")).where("line is not null")
+    return top.unionByName(variable_lines(hier.where("kind = 'var'"))).unionByName(rest).unionByName(end)
+
+
+def value_lines(changes: DataFrame, blackouts: DataFrame | None = None) -> DataFrame:
     """time, ord, line: a mark for each time and a line for each change; sorted by (time, ord) they are a VCD body.
 
-    Scalars are symbol and identifier, longer values b, value and identifier.
+    Scalars are symbol and identifier, longer values b, or p with symbols beyond 01xz, value and identifier; where changes
+    have real_value, var_len and raw, reals are r and texts s, escaped. Toggles at a time that has a mark follow it.
     """
     code = text.vcd_id(F.col("handle"))
-    line = F.when(F.length("value") == 1, F.concat("value", code)).otherwise(F.concat(F.lit("b"), F.col("value"), F.lit(" "), code))
-    marks = changes.select("time").distinct().select("time", F.struct(F.lit(0).alias("handle"), F.lit(0).cast("long").alias("seq")).alias("ord"), F.concat(F.lit("#"), F.col("time")).alias("line"))
-    return marks.unionByName(changes.select("time", F.struct(F.col("handle").cast("int").alias("handle"), F.col("seq").cast("long").alias("seq")).alias("ord"), line.alias("line")))
+    vector = F.concat(F.when(F.col("value").rlike("[^01xz]"), "p").otherwise("b"), F.col("value"), F.lit(" "), code)
+    line = F.when(F.length("value") == 1, F.concat("value", code)).otherwise(vector)
+    if {"real_value", "var_len", "raw"} <= set(changes.columns):
+        line = F.when(F.col("var_len"), F.concat(F.lit("s"), text.escape_text(F.col("raw")), F.lit(" "), code)).when(F.col("real_value").isNotNull(), F.concat(F.lit("r"), text.real_text(F.col("real_value")), F.lit(" "), code)).otherwise(line)
+    order = lambda handle, seq: F.struct(handle.cast("int").alias("handle"), seq.cast("long").alias("seq")).alias("ord")
+    times = changes.select("time").distinct()
+    out = times.select("time", order(F.lit(0), F.lit(0)), F.concat(F.lit("#"), F.col("time")).alias("line"))
+    out = out.unionByName(changes.select("time", order(F.col("handle"), F.col("seq")), line.alias("line")))
+    if blackouts is not None:
+        toggles = small(blackouts).join(times, "time").select("time", order(F.lit(0), F.col("idx") + 1), F.concat(F.lit("$dump"), F.when(F.col("active"), "on").otherwise("off"), F.lit(" $end")).alias("line"))
+        out = out.unionByName(toggles)
+    return out
+
+
+def source_stems(stems: DataFrame) -> DataFrame:
+    """ord, path, line, path_id, first: each path numbered by its first use; the first use also declares it. A catalogue's size."""
+    firsts = stems.groupBy("path").agg(F.min("ord").alias("first_ord"))
+    ids = firsts.select("path", "first_ord", F.row_number().over(Window.orderBy("first_ord")).alias("path_id"))
+    return stems.join(ids, "path").select("ord", "path", "line", "path_id", (F.col("ord") == F.col("first_ord")).alias("first"))
+
+
+def resolve_stems(attrs: DataFrame) -> DataFrame:
+    """ord, path, line of source stems (Misc 4 and 5), by the declared paths (Misc 3: name, and its number as arg)."""
+    misc = attrs.where("type_code = 0")
+    paths = misc.where("subtype_code = 3").select(F.col("arg").alias("arg_from_name"), F.col("name").alias("path"))
+    return misc.where("subtype_code in (4, 5)").join(small(paths), "arg_from_name").select("ord", "path", F.col("arg").alias("line"))
 
 
 def section(row: DataFrame) -> DataFrame:

@@ -237,3 +237,11 @@ query("supvar_pack", "SELECT p_partkey, ((p_size % 6) << 10) | (p_partkey % 17):
     lambda s, d: t.table(s, d, "part").select("p_partkey", text.pack_supplement(F.col("p_size") % 6, (F.col("p_partkey") % 17).cast("int")).alias("packed")).select("p_partkey", "packed", text.unpack_supplement(F.col("packed"))[0].alias("svt"), text.unpack_supplement(F.col("packed"))[1].alias("sdt"))
 )
 query("one_line", "SELECT doc_id, replace(replace(text, chr(13), ' '), chr(10), ' ') AS text FROM documents")(lambda s, d: t.table(s, d, "documents").select("doc_id", text.one_line(F.col("text")).alias("text")))
+
+_stems = "s AS (SELECT o_orderkey AS ord, o_orderpriority || o_orderstatus AS path, o_custkey AS line FROM orders) "
+query("source_stems", "WITH " + _stems + ", f AS (SELECT path, min(ord) AS first_ord FROM s GROUP BY path), i AS (SELECT *, row_number() OVER (ORDER BY first_ord)::INT AS path_id FROM f) SELECT ord, path, line, path_id, ord = first_ord AS first FROM s JOIN i USING (path)")(
+    lambda s, d: T.source_stems(t.table(s, d, "orders").select(F.col("o_orderkey").alias("ord"), F.concat("o_orderpriority", "o_orderstatus").alias("path"), F.col("o_custkey").alias("line")))
+)
+query("blackout_marks", with_("changes", "blackouts") + "SELECT time, '$dump' || CASE WHEN active THEN 'on' ELSE 'off' END || ' $end' AS line FROM blackouts WHERE time IN (SELECT time FROM changes)")(
+    lambda s, d: T.value_lines(t.changes(s, d).select("time", "handle", "seq", "value"), t.blackouts(s, d)).where("ord.handle = 0 and ord.seq > 0").select("time", "line")
+)
