@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import documents, fragments, materialize
 
-#: Symbols of a context at most. Six of nine bits, and the next one, are one 64-bit key.
-DEPTH = 6
+#: Symbols of a context at most.
+DEPTH = 8
 #: Candidate contexts of each length have at least this share of all training positions, which bounds their number, and this many of them.
-SHARE, LEAST = 1 / 20_000, 16
+SHARE, LEAST = 1e-6, 32
 _END_WORD, _END_TEXT, _BEGIN, _BITS = 256, 257, 258, 9
 _ALPHABET = 258
 _STEP_BYTES = 4_000_000
@@ -119,46 +119,62 @@ def _symbols(words: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     return out, np.arange(len(out)) - np.repeat(start, length), start
 
 
-def _context(symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """The k symbols before each place as one number, the nearest lowest."""
-    out = np.zeros(len(at), np.int64)
-    for i in range(1, k + 1):
-        out |= symbols[at - i] << (_BITS * (i - 1))
-    return out
+_FACTORS = W.powers(DEPTH + 2).view(np.int64)
+
+
+def _longer(context: np.ndarray, symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Contexts of k symbols before each place, as 64-bit hashes, from those of the k - 1 nearest; of none it is 0."""
+    return context + (symbols[at - k] + 1) * _FACTORS[k + 1] if k else context
+
+
+def _begin() -> int:
+    """The context of the beginning mark alone."""
+    return int(_longer(np.zeros(1, np.int64), np.array([_BEGIN]), np.array([1]), 1)[0])
 
 
 def _counts(k: int, parents):
     """A part of the vocabulary -> how often each symbol follows each context of k symbols whose suffix is a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = parents.value if k else None
+        levels = parents.value
         for batch in batches:
             for row in batch.to_pylist():
                 count = np.frombuffer(row["counts"], np.int64)
                 symbols, place, start = _symbols(row["words"], row["lengths"])
                 weight = np.repeat(count, np.diff(start, append=len(symbols)))
-                at = np.flatnonzero((place >= max(k, 1)) & (weight > 0))
-                if k:
-                    suffix = _context(symbols, at, k - 1)
-                    where = np.minimum(np.searchsorted(known, suffix), len(known) - 1)
-                    at = at[known[where] == suffix] if len(known) else at[:0]
-                key = _context(symbols, at, k) << _BITS | symbols[at]
-                by = np.argsort(key, kind="stable")
-                key = key[by]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+                at = np.flatnonzero((place >= 1) & (weight > 0))
+                context = suffix = np.zeros(len(at), np.int64)
+                for j in range(1, k + 1):
+                    keep = _found(levels[j - 1], context)[0] & (place[at] >= j)
+                    at, suffix = at[keep], context[keep]
+                    context = _longer(suffix, symbols, at, j)
+                by = np.lexsort((symbols[at], context))
+                context, suffix, symbol = context[by], suffix[by], symbols[at][by]
+                first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])])) if len(by) else np.empty(0, np.int64)
                 n = np.add.reduceat(weight[at][by], first) if len(first) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key[first] >> _BITS), pa.array((key[first] & (1 << _BITS) - 1).astype(np.int32)), pa.array(n)], names=["context", "symbol", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(suffix[first]), pa.array(symbol[first].astype(np.int32)), pa.array(n)], names=["context", "suffix", "symbol", "n"])
 
     return run
 
 
+def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted are in a sorted array, and where."""
+    if not len(known):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    where = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return known[where] == wanted, where
+
+
+Level = dict[int, tuple[int, dict[int, int]]]
+
+
 class Tree:
     """The kept contexts with their distributions, as arrays: for each length the contexts in order and their nodes."""
 
-    def __init__(self, levels: list[dict[int, dict[int, int]]]):
+    def __init__(self, levels: list[Level]):
         #: (length, context) -> smoothed probabilities of the symbols seen, weight of the suffix's, the suffix
         nodes: dict[tuple[int, int], tuple[dict[int, float], float, tuple[int, int] | None]] = {}
-        root = levels[0].get(0, {})
+        root = levels[0].get(0, (0, {}))[1]
         total, kinds = sum(root.values()), len(root) or 1
         nodes[0, 0] = {x: (root.get(x, 0) + kinds / _ALPHABET) / (total + kinds) for x in range(_ALPHABET)}, 0.0, None
         kept = {(0, 0)}
@@ -168,16 +184,14 @@ class Tree:
             return seen[x] if x in seen else rest * probability(suffix, x)
 
         for k in range(1, len(levels)):
-            for context, follow in sorted(levels[k].items()):
-                suffix = (k - 1, context & (1 << _BITS * (k - 1)) - 1)
-                if suffix not in nodes:
-                    continue
+            for context, (shorter, follow) in sorted(levels[k].items()):
+                suffix = (k - 1, shorter)
                 n, kinds = sum(follow.values()), len(follow)
                 below = {x: probability(suffix, x) for x in follow}
                 nodes[k, context] = {x: (c + kinds * below[x]) / (n + kinds) for x, c in follow.items()}, kinds / (n + kinds), suffix
                 if sum(c * math.log(c / n / below[x]) for x, c in follow.items()) > 0.5 * kinds * math.log(n):
                     node = (k, context)
-                    while node and node not in kept:
+                    while node not in kept:
                         kept.add(node)
                         node = nodes[node][2]
         order = {node: i for i, node in enumerate(sorted(kept))}
@@ -190,21 +204,20 @@ class Tree:
         self.logs = np.log10(np.array([p for _, p in seen]))
 
     def log10(self, symbols: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the symbols at these places."""
-        node = np.full(len(at), -1, np.int64)
-        for k in range(len(self.contexts) - 1, -1, -1):
-            open_ = np.flatnonzero((node < 0) & (place[at] >= k))
-            if len(open_) and len(self.contexts[k]):
-                context = _context(symbols, at[open_], k)
-                where = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
-                hit = self.contexts[k][where] == context
-                node[open_[hit]] = self.first[k] + where[hit]
+        """log10 of the probability of the symbols at these places, each in the longest kept suffix of what stands before it."""
+        node = np.zeros(len(at), np.int64)
+        open_, context = np.arange(len(at)), np.zeros(len(at), np.int64)
+        for k in range(1, len(self.contexts)):  # all suffixes of a kept context are kept
+            more = place[at[open_]] >= k
+            open_ = open_[more]
+            context = _longer(context[more], symbols, at[open_], k)
+            hit, where = _found(self.contexts[k], context)
+            open_, context = open_[hit], context[hit]
+            node[open_] = self.first[k] + where[hit]
         out = np.zeros(len(at))
         left = np.arange(len(at))
         while len(left):
-            key = node[left] << _BITS | symbols[at[left]]
-            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[where] == key
+            hit, where = _found(self.keys, node[left] << _BITS | symbols[at[left]])
             out[left[hit]] += self.logs[where[hit]]
             left = left[~hit]
             out[left] += self.rest[node[left]]
@@ -215,19 +228,19 @@ class Tree:
 def _grow(vocabulary: DataFrame, texts_: int, positions: int) -> Tree:
     """The tree of a vocabulary in parts, and of the ends of so many training texts."""
     least = max(LEAST, math.ceil(positions * SHARE))
-    levels: list[dict[int, dict[int, int]]] = []
-    context = vocabulary.sparkSession.sparkContext
+    levels: list[Level] = []
+    spark = vocabulary.sparkSession
     for k in range(DEPTH + 1):
-        parents = context.broadcast(np.array(sorted(levels[-1]) if levels else [], np.int64))
-        rows = vocabulary.select("words", "lengths", "counts").mapInArrow(_counts(k, parents), "context long, symbol int, n long")
-        rows = rows.groupBy("context", "symbol").agg(F.sum("n").alias("n")).groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("follow"))
-        level = {r.context: {x.symbol: x.n for x in r.follow} for r in rows.where(F.col("total") >= (least if k else 0)).collect()}
+        parents = spark.sparkContext.broadcast([np.array(sorted(x), np.int64) for x in levels])
+        rows = vocabulary.select("words", "lengths", "counts").mapInArrow(_counts(k, parents), "context long, suffix long, symbol int, n long")
+        rows = rows.groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n")).groupBy("context", "suffix").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("follow"))
+        level: Level = {r.context: (r.suffix, {x.symbol: x.n for x in r.follow}) for r in rows.where(F.col("total") >= (least if k else 0)).collect()}
         if k < 2 and texts_:
-            own = level.setdefault(_BEGIN if k else 0, {})
-            own[_END_TEXT] = texts_
-        levels.append(level)
+            level.setdefault(_begin() if k else 0, (0, {}))[1][_END_TEXT] = texts_
         if not level:
+            levels += [{}] * (not levels)
             break
+        levels.append(level)
     return Tree(levels)
 
 
