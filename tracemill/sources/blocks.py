@@ -392,7 +392,7 @@ def hierarchy_bytes(rows: Iterable[dict]) -> bytes:
         elif r["kind"] == "attr_end":
             out.append(ATTR_END)
         else:
-            length = {0: 0}.get(r["length"], r["length"]) if r["type_code"] not in REALS else 8
+            length = 8 if r["type_code"] in REALS else r["length"]
             length = 0 if r["type_code"] == 21 else length * 3 + 2 if r["type_code"] == 18 else length
             out += bytes([r["type_code"], r.get("direction_code") or 0]) + name(r["name"]) + put_varint(length) + put_varint(r["handle"] if r["is_alias"] else 0)
     return bytes(out)
