@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-# Fixed values of the file format: the magic numbers of the dictionary's skippable frame, of a frame, of a trained dictionary.
+# Fixed values of the file format: the magic numbers of the dictionary's skippable frame and of a frame.
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
-DICTIONARY = 0xEC30A437
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = b"WARC/1.1"
 #: An archive ends at this many bytes of payload, or records.
