@@ -38,7 +38,7 @@ def _changes():
 @pytest.mark.parametrize("kind", ["4", "Z"])
 @pytest.mark.parametrize("size", [10_000, 300])
 def test_round_trip(spark, tmp_path, kind, size):
-    path, meta = str(tmp_path / "t.fst"), {"date": "today", "version": "v", "timescale_exp": -12, "timezero": -5, "start_time": 0}
+    path, meta = str(tmp_path / "t.trace"), {"date": "today", "version": "v", "timescale_exp": -12, "timezero": -5, "start_time": 0}
     with open(path, "wb") as f:
         f.writelines(B.file_bytes(meta, _hier(), _changes(), [(0, True), (30, False), (90, True)], kind, size))
     if size == 300:  # the wrapped form of the same
@@ -60,7 +60,7 @@ def test_round_trip(spark, tmp_path, kind, size):
 
 
 def test_limits_and_pruning(spark, tmp_path):
-    path = str(tmp_path / "t.fst")
+    path = str(tmp_path / "t.trace")
     with open(path, "wb") as f:
         f.writelines(B.file_bytes({"start_time": 0}, _hier(), _changes(), (), "4", 300))
     whole = read_trace(spark, path).changes
@@ -79,7 +79,7 @@ def test_limits_and_pruning(spark, tmp_path):
 
 
 def test_clip_to_file(spark, tmp_path):
-    path, out = str(tmp_path / "t.fst"), str(tmp_path / "c.fst")
+    path, out = str(tmp_path / "t.trace"), str(tmp_path / "c.trace")
     with open(path, "wb") as f:
         f.writelines(B.file_bytes({"start_time": 0}, _hier(), _changes(), (), "4", 300))
     trace = read_trace(spark, path)
