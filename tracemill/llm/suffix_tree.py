@@ -31,7 +31,7 @@ from .common import documents, fragments, materialize
 #: Symbols of a context at most.
 DEPTH = 8
 #: Candidate contexts of each length have at least this share of all training positions, which bounds their number, and this many of them.
-SHARE, LEAST = 1e-6, 32
+SHARE, LEAST = 1e-5, 32
 _END_WORD, _END_TEXT, _BEGIN, _BITS = 256, 257, 258, 9
 _ALPHABET = 258
 _STEP_BYTES = 4_000_000
