@@ -143,12 +143,16 @@ def _prefixes(percent: int):
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, na, nb) the (a, b) that are similar: overlaps counted per fragment and summed per pair."""
-    left = segments.select(F.col("uid").alias("a"), "fragment", F.col("segment").alias("left"))
-    right = segments.select(F.col("uid").alias("b"), "fragment", F.col("segment").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"])
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("left", "right")).cast("long")).alias("overlap"))
-    return total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    """Of pairs (a, b, na, nb) the (a, b) that are similar: overlaps counted per fragment and summed per pair, which stays one row."""
+    left = segments.select(F.col("uid").alias("a"), F.col("segments").alias("left"))
+    right = segments.select(F.col("uid").alias("b"), F.col("segments").alias("right"))
+
+    def partial(fragment: F.Column) -> F.Column:
+        return F.when(F.map_contains_key("right", fragment), F.size(F.array_intersect(F.element_at("left", fragment), F.element_at("right", fragment)))).otherwise(0)
+
+    total = F.aggregate(F.map_keys("left"), F.lit(0), lambda s, fragment: s + partial(fragment)).cast("long")
+    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", total.alias("overlap"))
+    return counted.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -175,7 +179,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     reps = able.join(classes.select(F.col("rep").alias("uid")), "uid")
     reps = materialize(reps.select("uid", "n", "weight", "prefix", "prefix_at", "alone", "shared", "cut"))
     segments = reps.select("uid", F.explode(F.arrays_zip("cut", "shared")).alias("x")).groupBy("uid", F.col("x.cut").alias("fragment")).agg(F.collect_list("x.shared").alias("segment"))
-    segments = materialize(segments)
+    segments = materialize(segments.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("fragment", "segment"))).alias("segments")))
 
     posted = reps.select("uid", "n", "weight", "alone", F.explode(F.arrays_zip("prefix", "prefix_at")).alias("x")).select("uid", "n", "weight", "alone", F.col("x.prefix").alias("key"), F.col("x.prefix_at").alias("at"))
     held = posted.groupBy("key").agg(F.count("*").alias("holders"), F.max_by("uid", F.struct("weight", -F.col("uid"))).alias("lead")).where("holders > 1").drop("holders")
