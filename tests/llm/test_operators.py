@@ -329,3 +329,53 @@ def test_scores(docs, nothing, corpus):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(own), sum(x in seen for x in own), n)
             assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
     assert suffix_tree.score_documents(nothing).count() == 0
+
+
+def _spelling(counts, texts_):
+    """A brute-force tree over the bytes of words: log10 of a word's probability, and of a text's end."""
+    spell = lambda w: [258, *(w or "").encode(), 256] if w is not None else [258, 257]
+    follow = defaultdict(Counter)
+    for w, c in [*counts.items(), (None, texts_)]:
+        s = spell(w)
+        for i in range(1, len(s)):
+            for k in range(min(i, suffix_tree.DEPTH) + 1):
+                follow[tuple(s[i - k : i])][s[i]] += c
+    follow = {c: {x: n for x, n in f.items() if n} for c, f in follow.items() if len(c) < 2 or sum(f.values()) >= 32}
+
+    def p(c, x):
+        if not c:
+            f = follow[()]
+            return (f.get(x, 0) + len(f) / 258) / (sum(f.values()) + len(f))
+        f = follow.get(c, {})
+        return (f.get(x, 0) + len(f) * p(c[1:], x)) / (sum(f.values()) + len(f)) if f else p(c[1:], x)
+
+    kept = {c for c in follow if len(c) < 2}
+    for c, f in follow.items():
+        n = sum(f.values())
+        if len(c) > 1 and sum(m * math.log(m / n / p(c[1:], x)) for x, m in f.items()) > 0.5 * len(f) * math.log(n):
+            kept |= {c[i:] for i in range(len(c))}
+
+    def log10(w):
+        s, out = spell(w), 0.0
+        for i in range(1, len(s)):
+            k = min(i, suffix_tree.DEPTH)
+            while tuple(s[i - k : i]) not in kept:
+                k -= 1
+            out += math.log10(p(tuple(s[i - k : i]), s[i]))
+        return out
+
+    return log10
+
+
+def test_scores_keep_contexts_of_large_corpora(spark, tmp_path):
+    """What is seen some 40 times counts in a corpus of over seven million symbols too."""
+    rng = random.Random(11)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rare = ["".join(rng.choice("pqrst") for _ in range(rng.randint(3, 12))) for _ in range(12)]
+    rows = [(i, " ".join(rng.choices(rare, k=30))) for i in range(20)] + [(i, "aaaaaaaa " * 400_000) for i in (100, 101, 102, 103) if not held(i)] + [(200 + i, f"{w} unseen{i} {w[:-1]}") for i, w in enumerate(rare)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    counts = Counter(w for i, t in rows if not held(i) for w in words(t))
+    log10 = _spelling(counts, sum(not held(i) for i, _ in rows))
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    for i, t in rows:
+        assert math.isclose(got[i], sum(n * log10(w) for w, n in Counter(words(t)).items()) + log10(None), rel_tol=1e-6)

@@ -4,14 +4,18 @@ A text is a sequence of tokens: lower-cased words, then one end. The tree spells
 begins it to one that ends it; the end of the text is a symbol that follows the beginning mark alone. So every text has
 a probability, also with words that were never seen.
 
-A context is up to DEPTH symbols of the token so far. Contexts of enough training positions are candidates; one is kept
-where its next-symbol distribution diverges from its longest kept suffix's by more than the cost of its parameters, and
-so are its suffixes. Distributions are smoothed by the suffix's (Witten-Bell), down to the uniform one. A symbol is
-scored in the longest kept suffix of what stands before it.
+A context is up to DEPTH symbols of the token so far. Contexts of LEAST training positions are candidates; one is kept
+where its next-symbol distribution diverges from its suffix's by more than the cost of its parameters, and so are its
+suffixes; those of one symbol always are. Distributions are smoothed by the suffix's (Witten-Bell), down to the uniform
+one. A symbol is scored in the longest kept suffix of what stands before it.
+
+The tree is never in one place. All positions with the same nearest two symbols meet in one task, with all longer
+contexts that end in them: there these contexts are counted, tested, smoothed and looked up. The driver and all tasks
+hold what follows a single symbol, a table of the alphabet's size.
 
 Corpus statistics are exact, over all training documents. Words travel as binary runs, cut by hash range, with the places
 where they stand; each range is merged to a part of the vocabulary, which the tree is learned from and which is scored
-once per distinct word; and each range adds its part to the scores of the documents.
+once per distinct word; each range adds its part to the scores of the documents.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from .common import documents, fragments, materialize
 
 #: Symbols of a context at most.
 DEPTH = 8
-#: Candidate contexts of each length have at least this share of all training positions, which bounds their number, and this many of them.
-SHARE, LEAST = 1e-5, 32
+#: Candidate contexts have at least so many training positions, whatever the size of the corpus.
+LEAST = 32
 _END_WORD, _END_TEXT, _BEGIN, _BITS = 256, 257, 258, 9
 _ALPHABET = 258
 _STEP_BYTES = 4_000_000
@@ -91,7 +95,7 @@ def _runs(parts: int):
     return run
 
 
-_PART = "part int, hashes binary, words binary, lengths binary, counts binary, tokens long, known long, positions long"
+_PART = "part int, hashes binary, words binary, lengths binary, counts binary, tokens long, known long"
 
 
 def _merged(rows: pa.Table) -> pa.Table:
@@ -105,7 +109,7 @@ def _merged(rows: pa.Table) -> pa.Table:
     own = by[first]
     length = lengths[own].astype(np.int64)
     skip = np.repeat(start[own] - (np.cumsum(length) - length), length)
-    row = (rows["part"][0].as_py(), h[own].tobytes(), spelled[skip + np.arange(len(skip))].tobytes(), lengths[own].tobytes(), count.tobytes(), int(count.sum()), int((count > 0).sum()), int((count * (length + 1)).sum()))
+    row = (rows["part"][0].as_py(), h[own].tobytes(), spelled[skip + np.arange(len(skip))].tobytes(), lengths[own].tobytes(), count.tobytes(), int(count.sum()), int((count > 0).sum()))
     return pa.Table.from_batches([_binary([row], _PART)])
 
 
@@ -119,156 +123,141 @@ def _symbols(words: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     return out, np.arange(len(out)) - np.repeat(start, length), start
 
 
-_FACTORS = W.powers(DEPTH + 2).view(np.int64)
-
-
-def _longer(context: np.ndarray, symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Contexts of k symbols before each place, as 64-bit hashes, from those of the k - 1 nearest; of none it is 0."""
-    return context + (symbols[at - k] + 1) * _FACTORS[k + 1] if k else context
-
-
-def _begin() -> int:
-    """The context of the beginning mark alone."""
-    return int(_longer(np.zeros(1, np.int64), np.array([_BEGIN]), np.array([1]), 1)[0])
-
-
-def _counts(k: int, parents):
-    """A part of the vocabulary -> how often each symbol follows each context of k symbols whose suffix is a candidate."""
+def _after_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part of the vocabulary -> how often each symbol follows each other one: as many rows as pairs of symbols at most."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            symbols, place, start = _symbols(row["words"], row["lengths"])
+            weight = np.repeat(np.frombuffer(row["counts"], np.int64), np.diff(start, append=len(symbols)))
+            at = np.flatnonzero((place >= 1) & (weight > 0))
+            pair, where = np.unique(symbols[at - 1] << _BITS | symbols[at], return_inverse=True)
+            n = np.zeros(len(pair), np.int64)
+            np.add.at(n, where, weight[at])
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+
+def _pairs(vocabulary: DataFrame, texts_: int) -> np.ndarray:
+    """The smoothed probability of each symbol after each other one; texts_ training texts end."""
+    counts = np.zeros((_BEGIN + 1, _ALPHABET))
+    for r in vocabulary.select("words", "lengths", "counts").mapInArrow(_after_one, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r.pair >> _BITS, r.pair & (1 << _BITS) - 1] = r.n
+    counts[_BEGIN, _END_TEXT] = texts_
+    root = counts.sum(axis=0)
+    kinds = np.count_nonzero(root) or 1
+    root = (root + kinds / _ALPHABET) / (root.sum() + kinds)
+    kinds = np.count_nonzero(counts, axis=1)[:, None]
+    return np.where(kinds > 0, (counts + kinds * root) / np.maximum(counts.sum(axis=1)[:, None] + kinds, 1), root)
+
+
+def in_contexts(symbol: np.ndarray, weight: np.ndarray, contexts: list[np.ndarray], below: np.ndarray) -> np.ndarray:
+    """The probability of each position's symbol in its longest kept context.
+
+    contexts has for each level what a position's context gets ahead of the level before, below 2^32, or -1 where its text
+    has no more; below is the symbol's probability without any of them. Positions of weight 0 are scored and not counted.
+    All positions of a context of the first level must be there.
+    """
+    out, p = below.copy(), below.copy()
+    at, group = np.arange(len(symbol)), np.zeros(len(symbol), np.int64)
+    levels = []
+    for own in contexts:
+        more = own[at] >= 0
+        at, group = at[more], group[more]
+        if not len(at):
+            break
+        key = group << 32 | own[at]
+        by = np.lexsort((symbol[at], key))
+        at, key, group, x = at[by], key[by], group[by], symbol[at][by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        pair = np.concatenate([[True], new[1:] | (x[1:] != x[:-1])])
+        first = np.flatnonzero(pair)
+        node = np.cumsum(new) - 1
+        holder, parent = node[first], group[np.flatnonzero(new)]
+        n = np.add.reduceat(weight[at], first).astype(float)
+        total, kinds = np.bincount(holder, n), np.bincount(holder, n > 0)
+        shorter = p[at[first]]
+        seen = n > 0
+        gain = np.bincount(holder[seen], n[seen] * np.log(n[seen] / total[holder[seen]] / shorter[seen]), minlength=len(total))
+        enough = total >= LEAST
+        kept = enough & (gain > 0.5 * kinds * np.log(np.maximum(total, 1)))
+        longer = (n + kinds[holder] * shorter) / np.maximum(total[holder] + kinds[holder], 1)
+        stay = enough[node]
+        p[at[stay]] = longer[np.cumsum(pair) - 1][stay]
+        at, group = at[stay], node[stay]
+        levels.append((at, group, kept, parent, p[at]))
+    for (_, _, kept, parent, _), (_, _, above, _, _) in zip(levels[:0:-1], levels[-2::-1], strict=True):
+        above[parent[kept]] = True  # all suffixes of a kept context are kept
+    for at, group, kept, _, found in levels:
+        out[at[kept[group]]] = found[kept[group]]
+    return out
+
+
+_SPELLED = "part int, home int, symbols binary, contexts binary, weights binary, words binary, logs binary"
+
+
+def _spelled(parts: int, pairs):
+    """A part of the vocabulary -> its positions by range of their nearest two symbols; those with one alone are done at once (part 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = parents.value
         for batch in batches:
             for row in batch.to_pylist():
-                count = np.frombuffer(row["counts"], np.int64)
                 symbols, place, start = _symbols(row["words"], row["lengths"])
-                weight = np.repeat(count, np.diff(start, append=len(symbols)))
-                at = np.flatnonzero((place >= 1) & (weight > 0))
-                context = suffix = np.zeros(len(at), np.int64)
-                for j in range(1, k + 1):
-                    keep = _found(levels[j - 1], context)[0] & (place[at] >= j)
-                    at, suffix = at[keep], context[keep]
-                    context = _longer(suffix, symbols, at, j)
-                by = np.lexsort((symbols[at], context))
-                context, suffix, symbol = context[by], suffix[by], symbols[at][by]
-                first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])])) if len(by) else np.empty(0, np.int64)
-                n = np.add.reduceat(weight[at][by], first) if len(first) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(suffix[first]), pa.array(symbol[first].astype(np.int32)), pa.array(n)], names=["context", "suffix", "symbol", "n"])
+                if not len(start):
+                    continue
+                count = np.frombuffer(row["counts"], np.int64)
+                logs = np.log10(pairs.value[_BEGIN, symbols[start + 1]])
+                rows = [(0, row["part"], None, None, None, np.arange(len(start), dtype=np.uint32).tobytes(), logs.tobytes())]
+                for low in range(0, len(symbols), 1_000_000):
+                    at = low + np.flatnonzero(place[low : low + 1_000_000] > 1)
+                    part = (W.mix((symbols[at - 1] << _BITS | symbols[at - 2]).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                    by = np.argsort(part, kind="stable")
+                    at, cut = at[by], np.searchsorted(part[by], np.arange(parts + 1))
+                    word = np.searchsorted(start, at, "right") - 1
+                    ahead = np.stack([np.where(place[at] >= k, symbols[at - np.minimum(k, place[at])], -1) for k in range(1, DEPTH + 1)], axis=1).astype(np.int16)
+                    for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                        if b > a:
+                            rows.append((p, row["part"], symbols[at[a:b]].astype(np.int16).tobytes(), ahead[a:b].tobytes(), count[word[a:b]].tobytes(), word[a:b].astype(np.uint32).tobytes(), None))
+                yield _binary(rows, _SPELLED)
 
     return run
 
 
-def _found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the wanted are in a sorted array, and where."""
-    if not len(known):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    where = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return known[where] == wanted, where
-
-
-Level = dict[int, tuple[int, dict[int, int]]]
-
-
-class Tree:
-    """The kept contexts with their distributions, as arrays: for each length the contexts in order and their nodes."""
-
-    def __init__(self, levels: list[Level]):
-        #: (length, context) -> smoothed probabilities of the symbols seen, weight of the suffix's, the suffix
-        nodes: dict[tuple[int, int], tuple[dict[int, float], float, tuple[int, int] | None]] = {}
-        root = levels[0].get(0, (0, {}))[1]
-        total, kinds = sum(root.values()), len(root) or 1
-        nodes[0, 0] = {x: (root.get(x, 0) + kinds / _ALPHABET) / (total + kinds) for x in range(_ALPHABET)}, 0.0, None
-        kept = {(0, 0)}
-
-        def probability(node: tuple[int, int], x: int) -> float:
-            seen, rest, suffix = nodes[node]
-            return seen[x] if x in seen else rest * probability(suffix, x)
-
-        for k in range(1, len(levels)):
-            for context, (shorter, follow) in sorted(levels[k].items()):
-                suffix = (k - 1, shorter)
-                n, kinds = sum(follow.values()), len(follow)
-                below = {x: probability(suffix, x) for x in follow}
-                nodes[k, context] = {x: (c + kinds * below[x]) / (n + kinds) for x, c in follow.items()}, kinds / (n + kinds), suffix
-                if sum(c * math.log(c / n / below[x]) for x, c in follow.items()) > 0.5 * kinds * math.log(n):
-                    node = (k, context)
-                    while node not in kept:
-                        kept.add(node)
-                        node = nodes[node][2]
-        order = {node: i for i, node in enumerate(sorted(kept))}
-        self.contexts = [np.array([c for k, c in order if k == d], np.int64) for d in range(len(levels))]
-        self.first = np.cumsum([0, *map(len, self.contexts)])
-        self.suffix = np.array([order[nodes[x][2]] if nodes[x][2] else 0 for x in order], np.int64)
-        self.rest = np.array([math.log10(nodes[x][1]) if nodes[x][1] else 0.0 for x in order])
-        seen = sorted((i << _BITS | s, p) for x, i in order.items() for s, p in nodes[x][0].items())
-        self.keys = np.array([k for k, _ in seen], np.int64)
-        self.logs = np.log10(np.array([p for _, p in seen]))
-
-    def log10(self, symbols: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the symbols at these places, each in the longest kept suffix of what stands before it."""
-        node = np.zeros(len(at), np.int64)
-        open_, context = np.arange(len(at)), np.zeros(len(at), np.int64)
-        for k in range(1, len(self.contexts)):  # all suffixes of a kept context are kept
-            more = place[at[open_]] >= k
-            open_ = open_[more]
-            context = _longer(context[more], symbols, at[open_], k)
-            hit, where = _found(self.contexts[k], context)
-            open_, context = open_[hit], context[hit]
-            node[open_] = self.first[k] + where[hit]
-        out = np.zeros(len(at))
-        left = np.arange(len(at))
-        while len(left):
-            hit, where = _found(self.keys, node[left] << _BITS | symbols[at[left]])
-            out[left[hit]] += self.logs[where[hit]]
-            left = left[~hit]
-            out[left] += self.rest[node[left]]
-            node[left] = self.suffix[node[left]]
-        return out
-
-
-def _grow(vocabulary: DataFrame, texts_: int, positions: int) -> Tree:
-    """The tree of a vocabulary in parts, and of the ends of so many training texts."""
-    least = max(LEAST, math.ceil(positions * SHARE))
-    levels: list[Level] = []
-    spark = vocabulary.sparkSession
-    for k in range(DEPTH + 1):
-        parents = spark.sparkContext.broadcast([np.array(sorted(x), np.int64) for x in levels])
-        rows = vocabulary.select("words", "lengths", "counts").mapInArrow(_counts(k, parents), "context long, suffix long, symbol int, n long")
-        rows = rows.groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n")).groupBy("context", "suffix").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("follow"))
-        level: Level = {r.context: (r.suffix, {x.symbol: x.n for x in r.follow}) for r in rows.where(F.col("total") >= (least if k else 0)).collect()}
-        if k < 2 and texts_:
-            level.setdefault(_begin() if k else 0, (0, {}))[1][_END_TEXT] = texts_
-        if not level:
-            levels += [{}] * (not levels)
-            break
-        levels.append(level)
-    return Tree(levels)
+_LOGS = "home int, words binary, logs binary"
 
 
-_SCORED = "part int, chunk long, hashes binary, holders binary, places binary, times binary, known binary, bases binary, logs binary"
-_SHARE = "part int, chunk long, places binary, known binary, bases binary, logs binary, ids binary"
+def _grown(pairs):
+    """All positions of some contexts -> the tree of these contexts, and for each part of the vocabulary what its words get."""
 
-
-def _scored(tree):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Tree = tree.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                symbols, place, start = _symbols(row["words"], row["lengths"])
-                at = np.flatnonzero(place > 0)
-                each = np.zeros(len(symbols))
-                for a in range(0, len(at), 500_000):
-                    each[at[a : a + 500_000]] = own.log10(symbols, place, at[a : a + 500_000])
-                count = np.frombuffer(row["counts"], np.int64)
-                logs = np.add.reduceat(each, start) if len(start) else each
-                yield _binary([(row["part"], None, row["hashes"], None, None, None, (count > 0).tobytes(), np.log10(count + 0.5).tobytes(), logs.tobytes())], _SCORED)
+    def run(rows: pa.Table) -> pa.Table:
+        got = rows.to_pylist()
+        out = [(r["home"], r["words"], r["logs"]) for r in got if r["symbols"] is None]
+        got = [r for r in got if r["symbols"] is not None]
+        if got:
+            symbol, weight = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("symbols", np.int16), ("weights", np.int64)))
+            ahead = np.concatenate([np.frombuffer(r["contexts"], np.int16) for r in got]).reshape(-1, DEPTH).astype(np.int64)
+            levels = [ahead[:, 0] << _BITS | ahead[:, 1], *(ahead[:, k] for k in range(2, DEPTH))]
+            logs = np.log10(in_contexts(symbol, weight, levels, pairs.value[ahead[:, 0], symbol]))
+            done = 0
+            for r in got:
+                word = np.frombuffer(r["words"], np.uint32)
+                used, where = np.unique(word, return_inverse=True)
+                out.append((r["home"], used.tobytes(), np.bincount(where, logs[done : done + len(word)]).tobytes()))
+                done += len(word)
+        return pa.Table.from_batches([_binary(out, _LOGS)])
 
     return run
 
 
+_SHARE = "part int, chunk long, places binary, known binary, bases binary, logs binary, ids binary"
+
+
 def _shares(rows: pa.Table) -> pa.Table:
     """A scored part of the vocabulary and all runs of its hash range -> for each step what the range adds to its documents."""
-    words = next(r for r in rows.select(["chunk", "hashes", "known", "bases", "logs"]).to_pylist() if r["chunk"] is None)
-    keys, known, bases, logs = (np.frombuffer(words[c], t) for c, t in (("hashes", np.uint64), ("known", bool), ("bases", float), ("logs", float)))
+    own = [r for r in rows.select(["chunk", "hashes", "counts", "words", "logs"]).to_pylist() if r["chunk"] is None]
+    keys, count = next((np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in own if r["hashes"] is not None)
+    known, bases, logs = count > 0, np.log10(count + 0.5), np.zeros(len(keys))
+    for r in own:
+        if r["logs"] is not None:
+            logs[np.frombuffer(r["words"], np.uint32)] += np.frombuffer(r["logs"], float)
     out = []
     for row in rows.select(["part", "chunk", "hashes", "holders", "places", "times"]).to_pylist():
         if row["chunk"] is not None:
@@ -312,16 +301,19 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame
     runs = materialize(rows.mapInArrow(_runs(parts), _RUN))
     own = runs.where("part is not null")
     vocabulary = materialize(own.select("part", "hashes", "words", "lengths", "counts").groupBy("part").applyInArrow(_merged, _PART))
-    total = vocabulary.agg(F.sum("tokens").alias("n"), F.sum("known").alias("v"), F.sum("positions").alias("positions")).first()
+    total = vocabulary.agg(F.sum("tokens").alias("n"), F.sum("known").alias("v")).first()
     n, v = (total.n or 0) + train, (total.v or 0) + (train > 0)
-    tree = _grow(vocabulary, train, (total.positions or 0) + train)
-    end = tree.log10(np.array([_BEGIN, _END_TEXT]), np.array([0, 1]), np.array([1]))[0]
-    scored = vocabulary.mapInArrow(_scored(spark.sparkContext.broadcast(tree)), _SCORED)
-    nothing = [F.lit(None).cast("binary").alias(c) for c in ("known", "bases", "logs")]
-    both = own.select("part", "chunk", "hashes", "holders", "places", "times", *nothing).union(scored)
+    pairs = _pairs(vocabulary, train)
+    end = np.log10(pairs[_BEGIN, _END_TEXT])
+    pairs = spark.sparkContext.broadcast(pairs)
+    spelled = vocabulary.select("part", "words", "lengths", "counts").mapInArrow(_spelled(parts, pairs), _SPELLED).groupBy("part").applyInArrow(_grown(pairs), _LOGS)
+    nothing = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    none = F.lit(None).cast("long").alias("chunk")
+    both = own.select("part", "chunk", "hashes", "holders", "places", "times", *nothing("counts", "words", "logs"))
+    both = both.union(vocabulary.select("part", none, "hashes", *nothing("holders", "places", "times"), "counts", *nothing("words", "logs")))
+    both = both.union(spelled.select("home", none, *nothing("hashes", "holders", "places", "times", "counts"), "words", "logs"))
     shares = both.groupBy("part").applyInArrow(_shares, _SHARE)
-    nothing = [F.lit(None).cast("binary").alias(c) for c in ("places", "known", "bases", "logs")]
-    meta = runs.where("part is null").select("part", "chunk", *nothing, "ids")
+    meta = runs.where("part is null").select("part", "chunk", *nothing("places", "known", "bases", "logs"), "ids")
     sums = shares.union(meta).groupBy("chunk").applyInArrow(_totals, _RESULT)
     tokens = F.col("n_tokens") + 1
     base = F.col("base_sum") + math.log10(train + 0.5) - tokens * F.lit(math.log10(n + 0.5 * (v + 1)))
