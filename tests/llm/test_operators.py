@@ -367,6 +367,50 @@ def _spelling(counts, texts_):
     return log10
 
 
+def _reading(train):
+    """A brute-force tree over the tokens of texts: log10 of a text's probability."""
+    tokens = lambda t: [*words(low(t)), None]
+    counts, follow = Counter(x for t in train for x in tokens(t)), defaultdict(Counter)
+    n, v = sum(counts.values()), len(counts)
+    spell = _spelling({w: c for w, c in counts.items() if w is not None}, len(train))
+    for t in train:
+        s = [0, *tokens(t)]
+        for i in range(1, len(s)):
+            for k in range(1, min(i, suffix_tree.WORDS) + 1):
+                follow[tuple(s[i - k : i])][s[i]] += 1
+    follow = {c: f for c, f in follow.items() if sum(f.values()) >= 32}
+
+    def p(c, x):
+        """log10: an unseen word may have less than a float holds."""
+        if not c:
+            return math.log10((counts[x] + v * 10 ** spell(x)) / (n + v)) if x in counts else spell(x) + math.log10(v / (n + v))
+        f = follow.get(c)
+        if not f:
+            return p(c[1:], x)
+        total = sum(f.values()) + len(f)
+        return math.log10((f[x] + len(f) * 10 ** p(c[1:], x)) / total) if x in f else p(c[1:], x) + math.log10(len(f) / total)
+
+    kept = {()}
+    for c, f in follow.items():
+        m = sum(f.values())
+        if sum(k * (math.log(k / m) - math.log(10) * p(c[1:], x)) for x, k in f.items()) > 0.5 * len(f) * math.log(m):
+            kept |= {c[i:] for i in range(len(c))}
+
+    def log10(t):
+        s, out, done = [0, *tokens(t)], 0.0, {}
+        for i in range(1, len(s)):
+            k = min(i, suffix_tree.WORDS)
+            while tuple(s[i - k : i]) not in kept:
+                k -= 1
+            at = tuple(s[i - k : i]), s[i]
+            if at not in done:
+                done[at] = p(*at)
+            out += done[at]
+        return out
+
+    return log10
+
+
 def test_scores_keep_contexts_of_large_corpora(spark, tmp_path):
     """What is seen some 40 times counts in a corpus of over seven million symbols too."""
     rng = random.Random(11)
@@ -374,8 +418,33 @@ def test_scores_keep_contexts_of_large_corpora(spark, tmp_path):
     rare = ["".join(rng.choice("pqrst") for _ in range(rng.randint(3, 12))) for _ in range(12)]
     rows = [(i, " ".join(rng.choices(rare, k=30))) for i in range(20)] + [(i, "aaaaaaaa " * 400_000) for i in (100, 101, 102, 103) if not held(i)] + [(200 + i, f"{w} unseen{i} {w[:-1]}") for i, w in enumerate(rare)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
-    counts = Counter(w for i, t in rows if not held(i) for w in words(t))
-    log10 = _spelling(counts, sum(not held(i) for i, _ in rows))
+    log10 = _reading([t for i, t in rows if not held(i)])
     got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark.read.parquet(str(tmp_path / "d"))).collect()}
     for i, t in rows:
-        assert math.isclose(got[i], sum(n * log10(w) for w, n in Counter(words(t)).items()) + log10(None), rel_tol=1e-6)
+        assert math.isclose(got[i], log10(t), rel_tol=1e-6)
+
+
+def test_scores_read_across_tokens(spark, docs, corpus, tmp_path):
+    """The order of a text's words counts, and all scores equal brute force, also of words with no probability in a float."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    rng = random.Random(12)
+    names = [f"n{i}" for i in range(40)]
+    after = {w: rng.sample(names, 3) for w in names}
+    rows = []
+    for i in range(300):
+        text = [rng.choice(names)]
+        while len(text) < 50:
+            text.append(rng.choice(after[text[-1]]) if len(text) < 2 or rng.random() < 0.5 else after[text[-1]][names.index(text[-2]) % 3])
+        rows.append((i, " ".join(text)))
+    apart = next(i for i in range(1000, 2000) if held(i))
+    rows += [(apart + 0, " ".join(sorted(rows[0][1].split(" "))))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    for own, df in ((rows, spark.read.parquet(str(tmp_path / "d"))), ([(r[0], r[1]) for r in corpus], docs)):
+        log10 = _reading([t for i, t in own if not held(i)])
+        got = defaultdict(list)
+        for r in suffix_tree.score_documents(df).collect():
+            got[r.doc_id].append(r.score)
+        for i, t in own:
+            assert all(math.isclose(x, log10(t), rel_tol=1e-6) for x in got[i])
+        if own is rows:
+            assert got[apart][0] < got[0][0] - 10

@@ -1,21 +1,23 @@
 """Operator 5: language-model scoring by a probabilistic suffix tree.
 
-A text is a sequence of tokens: lower-cased words, then one end. The tree spells a token byte by byte, from a mark that
-begins it to one that ends it; the end of the text is a symbol that follows the beginning mark alone. So every text has
-a probability, also with words that were never seen.
-
-A context is up to DEPTH symbols of the token so far. Contexts of LEAST training positions are candidates; one is kept
-where its next-symbol distribution diverges from its suffix's by more than the cost of its parameters, and so are its
-suffixes; those of one symbol always are. Distributions are smoothed by the suffix's (Witten-Bell), down to the uniform
-one. A symbol is scored in the longest kept suffix of what stands before it.
-
-The tree is never in one place. All positions with the same nearest two symbols meet in one task, with all longer
-contexts that end in them: there these contexts are counted, tested, smoothed and looked up. The driver and all tasks
-hold what follows a single symbol, a table of the alphabet's size.
-
-Corpus statistics are exact, over all training documents. Words travel as binary runs, cut by hash range, with the places
-where they stand; each range is merged to a part of the vocabulary, which the tree is learned from and which is scored
-once per distinct word; each range adds its part to the scores of the documents.
+A text is a sequence of tokens: lower-cased words, then one end. A token's context is up to WORDS tokens before it, the
+beginning of the text included. Without a context its probability is that of its count, smoothed (Witten-Bell) by a tree
+over bytes, which spells a token byte by byte, from a mark that begins it to one that ends it; the end of the text is a
+symbol that follows the beginning mark alone. So every text has a probability, also with words that were never seen.
+There a context is up to DEPTH symbols of the token so far.
+
+In both trees, contexts of LEAST training positions are candidates; one is kept where its next-symbol distribution
+diverges from its suffix's by more than the cost of its parameters, and so are its suffixes; those of one byte always
+are. Distributions are smoothed by the suffix's (Witten-Bell), in the bytes down to the uniform one. A token or symbol is
+scored in the longest kept suffix of what stands before it.
+
+No tree is ever in one place. All positions with the same word before them, or the same nearest two bytes, meet in one
+task, with all longer contexts that end in them: there these contexts are counted, tested, smoothed and looked up. The
+driver and all tasks hold what follows a single byte, a table of the alphabet's size.
+
+Corpus statistics are exact, over all training documents. Words travel as binary runs, cut by hash range; each range is
+merged to a part of the vocabulary, which the tree over bytes is learned from and which is spelled once per distinct word.
+What the words have without contexts goes back to the steps they come from, and from there to the positions.
 """
 
 from __future__ import annotations
@@ -39,8 +41,14 @@ LEAST = 32
 _END_WORD, _END_TEXT, _BEGIN, _BITS = 256, 257, 258, 9
 _ALPHABET = 258
 _STEP_BYTES = 4_000_000
+#: Words before a word that are its context at most.
+WORDS = 2
+#: Numbers of tokens: the beginning of a text, its end, and words from here on; and what stands for no token.
+_FIRST, _END, _NUMBERS, _NONE = 0, 1, 2, (1 << 32) - 1
+#: Instead of the probability of a word that training lacks, which may be too small for a float: all its other factors do not depend on it.
+_UNSEEN = 1e-30
 
-_RUN = "part int, chunk long, hashes binary, words binary, lengths binary, counts binary, holders binary, places binary, times binary, ids binary"
+_RUN = "part int, chunk long, hashes binary, words binary, lengths binary, counts binary, ids binary, tokens binary"
 
 
 def _binary(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -49,46 +57,40 @@ def _binary(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """An array for the way: its bytes by significance, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    n, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
 def _runs(parts: int):
-    """documents -> for each step of a task and hash range its distinct words, and one row (part null) for the step's documents."""
+    """documents -> for each step of a task and hash range its distinct words, and one row (part null) for the step's documents and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
         for batch, data, offsets in W.steps(batches, step_bytes=_STEP_BYTES):
             words = W.split(data, offsets, lower=True)
-            h, text = W.hashes(words), words.texts()
             held = np.asarray(batch.column("held_out"))
-            by = np.argsort(h, kind="stable")
-            h, text = h[by], text[by]
-            # one entry for each word and text, at most 255 times each
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]) if len(h) else np.empty(0, bool)
-            entry = np.flatnonzero(new)
-            times = np.diff(entry, append=len(h))
-            full = (times - 1) // 255
-            entry = np.repeat(entry, full + 1)
-            last = np.cumsum(full + 1) - 1
-            each = np.full(len(entry), 255, np.uint8)
-            each[last] = times - 255 * full
-            key, place = h[entry], text[entry].astype(np.uint16)
-            word = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-            holders = np.diff(word, append=len(key)).astype(np.uint32)
-            count = np.add.reduceat(np.where(held[place], 0, each).astype(np.int64), word) if len(word) else np.empty(0, np.int64)
-            at = by[entry[word]]
-            start, length = words.starts[at], words.ends[at] - words.starts[at]
+            keys, first, token = np.unique(W.hashes(words), return_index=True, return_inverse=True)
+            count = np.bincount(token, ~held[words.texts()], minlength=len(keys))
+            start, length = words.starts[first], words.ends[first] - words.starts[first]
             skip = np.repeat(start - (np.cumsum(length) - length), length)
             spelled = words.data[skip + np.arange(len(skip))]
             edge = np.concatenate([[0], np.cumsum(length)])
-            keys = key[word]
             cut = W.ranges(keys, parts)
-            ends = np.append(word, len(key))
             rows = []
             for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:
-                    c, d = ends[a], ends[b]
-                    rows.append((p, chunk, keys[a:b].tobytes(), spelled[edge[a] : edge[b]].tobytes(), length[a:b].astype(np.uint32).tobytes(), count[a:b].astype(np.uint32).tobytes(), holders[a:b].tobytes(), place[c:d].tobytes(), each[c:d].tobytes(), None))
+                    rows.append((p, chunk, keys[a:b].tobytes(), spelled[edge[a] : edge[b]].tobytes(), length[a:b].astype(np.uint32).tobytes(), count[a:b].astype(np.uint32).tobytes(), None, None))
             ids = batch.column("doc_id")
             meta = np.stack([np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()).astype(np.int64), held.astype(np.int64), np.diff(words.first)])
-            rows.append((None, chunk, *[None] * 7, meta.tobytes()))
+            rows.append((None, chunk, *[None] * 4, meta.tobytes(), token.astype(np.uint16 if len(keys) <= 1 << 16 else np.uint32).tobytes()))
             yield _binary(rows, _RUN)
             chunk += 1
 
@@ -191,96 +193,170 @@ def in_contexts(symbol: np.ndarray, weight: np.ndarray, contexts: list[np.ndarra
     return out
 
 
-_SPELLED = "part int, home int, symbols binary, contexts binary, weights binary, words binary, logs binary"
+_SPELLED = "part int, home int, windows binary, weights binary"
+
 
+def _windows(parts: int, words: bytes, lengths: bytes, counts: bytes):
+    """The distinct windows of a part of the vocabulary, a symbol and the DEPTH before it, in order by range of the nearest two.
 
-def _spelled(parts: int, pairs):
-    """A part of the vocabulary -> its positions by range of their nearest two symbols; those with one alone are done at once (part 0)."""
+    Returns the windows, nearest symbol first, as bytes that stand in no word (0x20 the marks, 0x09 no symbol); their training
+    counts; where each range begins; the words' symbols behind two others, each with the number of its window; where words begin.
+    """
+    symbols, place, start = _symbols(words, lengths)
+    at = np.flatnonzero(place > 1)
+    code = np.where(symbols < 256, symbols, 0x20).astype(np.uint8)
+    key = np.zeros(len(at), np.uint64)
+    for k in range(DEPTH + 1):
+        far = place[at] < k
+        key = W.mix(key * np.uint64(31) + np.where(far, 9, code[at - np.where(far, 0, k)]).astype(np.uint64))
+    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    own = at[first]
+    windows = np.stack([np.where(place[own] < k, np.uint8(9), code[own - np.minimum(k, place[own])]) for k in range(DEPTH + 1)])
+    part = (W.mix(windows[1].astype(np.uint64) << np.uint64(8) | windows[2].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    by = np.lexsort((windows[0], windows[4], windows[3], windows[2], windows[1], part))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    which = rank[which]
+    weight = np.zeros(len(by), np.int64)
+    np.add.at(weight, which, np.repeat(np.frombuffer(counts, np.int64), np.diff(start, append=len(symbols)))[at])
+    return windows[:, by], weight, np.searchsorted(part[by], np.arange(parts + 1)), (symbols, at, which), start
+
+
+def _spelled(parts: int):
+    """A part of the vocabulary -> its windows by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                symbols, place, start = _symbols(row["words"], row["lengths"])
-                if not len(start):
-                    continue
-                count = np.frombuffer(row["counts"], np.int64)
-                logs = np.log10(pairs.value[_BEGIN, symbols[start + 1]])
-                rows = [(0, row["part"], None, None, None, np.arange(len(start), dtype=np.uint32).tobytes(), logs.tobytes())]
-                for low in range(0, len(symbols), 1_000_000):
-                    at = low + np.flatnonzero(place[low : low + 1_000_000] > 1)
-                    part = (W.mix((symbols[at - 1] << _BITS | symbols[at - 2]).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                    by = np.argsort(part, kind="stable")
-                    at, cut = at[by], np.searchsorted(part[by], np.arange(parts + 1))
-                    word = np.searchsorted(start, at, "right") - 1
-                    ahead = np.stack([np.where(place[at] >= k, symbols[at - np.minimum(k, place[at])], -1) for k in range(1, DEPTH + 1)], axis=1).astype(np.int16)
-                    for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                        if b > a:
-                            rows.append((p, row["part"], symbols[at[a:b]].astype(np.int16).tobytes(), ahead[a:b].tobytes(), count[word[a:b]].tobytes(), word[a:b].astype(np.uint32).tobytes(), None))
-                yield _binary(rows, _SPELLED)
+                windows, weight, cut, _, _ = _windows(parts, row["words"], row["lengths"], row["counts"])
+                yield _binary([(p, row["part"], _pack(windows[:, a:b].ravel()), _pack(weight[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a], _SPELLED)
 
     return run
 
 
-_LOGS = "home int, words binary, logs binary"
+_LOGS = "part int, home int, logs binary"
 
 
 def _grown(pairs):
-    """All positions of some contexts -> the tree of these contexts, and for each part of the vocabulary what its words get."""
+    """All windows that end in some contexts -> the tree of these contexts, and for each part of the vocabulary what its windows get."""
 
     def run(rows: pa.Table) -> pa.Table:
         got = rows.to_pylist()
-        out = [(r["home"], r["words"], r["logs"]) for r in got if r["symbols"] is None]
-        got = [r for r in got if r["symbols"] is not None]
-        if got:
-            symbol, weight = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("symbols", np.int16), ("weights", np.int64)))
-            ahead = np.concatenate([np.frombuffer(r["contexts"], np.int16) for r in got]).reshape(-1, DEPTH).astype(np.int64)
-            levels = [ahead[:, 0] << _BITS | ahead[:, 1], *(ahead[:, k] for k in range(2, DEPTH))]
-            logs = np.log10(in_contexts(symbol, weight, levels, pairs.value[ahead[:, 0], symbol]))
-            done = 0
-            for r in got:
-                word = np.frombuffer(r["words"], np.uint32)
-                used, where = np.unique(word, return_inverse=True)
-                out.append((r["home"], used.tobytes(), np.bincount(where, logs[done : done + len(word)]).tobytes()))
-                done += len(word)
-        return pa.Table.from_batches([_binary(out, _LOGS)])
+        windows = np.concatenate([_unpack(r["windows"], np.uint8).reshape(DEPTH + 1, -1) for r in got], axis=1)
+        weight = np.concatenate([_unpack(r["weights"], np.int64) for r in got])
+        symbol, near = windows[0].astype(np.int16), windows[1].astype(np.int64)
+        symbol[symbol == 0x20] = _END_WORD
+        levels = [near << 8 | windows[2], *(np.where(windows[k] == 9, -1, windows[k].astype(np.int64)) for k in range(3, DEPTH + 1))]
+        logs = np.log10(in_contexts(symbol, weight, levels, pairs.value[near, symbol])).astype(np.float32)
+        cut = np.cumsum([0, *(int.from_bytes(r["weights"][:8], "little") for r in got)])
+        return pa.Table.from_batches([_binary([(r["part"], r["home"], _pack(logs[a:b])) for r, a, b in zip(got, cut[:-1], cut[1:], strict=True)], _LOGS)])
+
+    return run
+
+
+_SHARE = "part int, chunk long, numbers binary, counts binary, logs binary, ids binary, tokens binary"
+
+
+def _shares(parts: int, numbers: dict[int, int], pairs):
+    """A part of the vocabulary with its windows' logs, and all runs of its hash range -> for each step its words' numbers, counts and spellings."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        got = rows.to_pylist()
+        own = next(r for r in got if r["words"] is not None)
+        keys, count = np.frombuffer(own["hashes"], np.uint64), np.frombuffer(own["counts"], np.int64)
+        _, _, _, (symbols, at, which), start = _windows(parts, own["words"], own["lengths"], own["counts"])
+        each = np.zeros(len(symbols))
+        each[start + 1] = np.log10(pairs.value[_BEGIN, symbols[start + 1]])
+        found = [_unpack(r["logs"], np.float32) for r in sorted((r for r in got if r["logs"] is not None), key=lambda r: r["range"])]
+        if found:
+            each[at] = np.concatenate(found)[which]
+        logs = np.add.reduceat(each, start)
+        del symbols, at, which, each, found
+        out = []
+        for row in got:
+            if row["chunk"] is not None:
+                at = np.searchsorted(keys, np.frombuffer(row["hashes"], np.uint64))
+                out.append((row["part"], row["chunk"], _pack(np.diff(at, prepend=-numbers[row["part"]]).astype(np.uint32)), _pack(count[at]), _pack(logs[at].astype(np.float32)), None, None))
+        return pa.Table.from_batches([_binary(out, _SHARE)])
+
+    return run
+
+
+_PLACE = "part int, chunk long, first binary, second binary, numbers binary, below binary, trained binary, places binary, ids binary, sums binary"
+
+
+def _places(parts: int, end: float, total: int, v: int):
+    """All shares of one step -> its positions by range of the word before, and a row for its documents with what they have without contexts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        got = sorted(rows.to_pylist(), key=lambda r: -1 if r["part"] is None else r["part"])
+        meta = got.pop(0)
+        held, n = np.frombuffer(meta["ids"], np.int64).reshape(4, -1)[2:]
+        number = np.concatenate([np.empty(0, np.int64), *(np.cumsum(_unpack(r["numbers"], np.uint32), dtype=np.int64) for r in got)])
+        count, logs = (np.concatenate([np.empty(0, t), *(_unpack(r[c], t) for r in got)]).astype(k) for c, t, k in (("counts", np.int64, np.int64), ("logs", np.float32, float)))
+        below = np.where(count > 0, (count + v * 10**logs) / max(total + v, 1), _UNSEEN)
+        rest = np.where(count > 0, 0.0, logs - math.log10(_UNSEEN) + (math.log10(v / (total + v)) if v else 0.0))
+        token = np.frombuffer(meta["tokens"], np.uint16 if len(number) <= 1 << 16 else np.uint32)
+        text = np.repeat(np.arange(len(n)), n)
+        sums = np.stack([np.bincount(text, x[token], minlength=len(n)) for x in (count > 0, np.log10(count + 0.5), rest)])
+        # each text with its beginning and its end
+        start = np.cumsum(n + 2) - (n + 2)
+        flow, chance = np.full(int((n + 2).sum()), _END, np.int64), np.full(int((n + 2).sum()), end)
+        flow[start] = _FIRST
+        inside = np.arange(len(token)) + 2 * text + 1
+        flow[inside], chance[inside] = number[token], below[token]
+        holder = np.repeat(np.arange(len(n)), n + 2)
+        at = np.flatnonzero(np.arange(len(flow)) > start[holder])
+        first, second = flow[at - 1], np.where(at > start[holder[at]] + 1, flow[at - 2], _NONE)
+        part = (W.mix(first.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        by = np.lexsort((flow[at], part << 32 | first))
+        at, first, second, part = at[by], first[by], second[by], part[by]
+        out = [(meta["chunk"] % parts, meta["chunk"], *[None] * 6, meta["ids"], sums.tobytes())]
+        cut = np.searchsorted(part, np.arange(parts + 1))
+        for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if b > a:
+                own = holder[at[a:b]]
+                out.append((p, meta["chunk"], *(_pack(x.astype(t)) for x, t in ((first[a:b], np.uint32), (second[a:b], np.uint32), (flow[at[a:b]], np.uint32), (chance[at[a:b]], np.float32))), np.packbits(held[own] == 0).tobytes(), _pack(own.astype(np.uint16)), None, None))
+        return pa.Table.from_batches([_binary(out, _PLACE)])
 
     return run
 
 
-_SHARE = "part int, chunk long, places binary, known binary, bases binary, logs binary, ids binary"
+_READ = "chunk long, places binary, logs binary, ids binary, sums binary"
 
 
-def _shares(rows: pa.Table) -> pa.Table:
-    """A scored part of the vocabulary and all runs of its hash range -> for each step what the range adds to its documents."""
-    own = [r for r in rows.select(["chunk", "hashes", "counts", "words", "logs"]).to_pylist() if r["chunk"] is None]
-    keys, count = next((np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in own if r["hashes"] is not None)
-    known, bases, logs = count > 0, np.log10(count + 0.5), np.zeros(len(keys))
-    for r in own:
-        if r["logs"] is not None:
-            logs[np.frombuffer(r["words"], np.uint32)] += np.frombuffer(r["logs"], float)
-    out = []
-    for row in rows.select(["part", "chunk", "hashes", "holders", "places", "times"]).to_pylist():
-        if row["chunk"] is not None:
-            where = np.repeat(np.searchsorted(keys, np.frombuffer(row["hashes"], np.uint64)), np.frombuffer(row["holders"], np.uint32))
-            used, place = np.unique(np.frombuffer(row["places"], np.uint16), return_inverse=True)
-            times = np.frombuffer(row["times"], np.uint8).astype(float)
-            add = [np.bincount(place, weights=times * x[where], minlength=len(used)) for x in (known, bases, logs)]
-            out.append((row["part"], row["chunk"], used.tobytes(), *(x.tobytes() for x in add), None))
-    return pa.Table.from_batches([_binary(out, _SHARE)])
+def _read(rows: pa.Table) -> pa.Table:
+    """All positions after some words -> the tree of these contexts, and for each step what its documents get."""
+    got = rows.drop_columns(["part"]).to_pylist()
+    out = [(r["chunk"], None, None, r["ids"], r["sums"]) for r in got if r["ids"] is not None]
+    got = [r for r in got if r["ids"] is None]
+    if got:
+        first, second, number = (np.concatenate([_unpack(r[c], np.uint32) for r in got]).astype(np.int64) for c in ("first", "second", "numbers"))
+        below = np.concatenate([_unpack(r["below"], np.float32) for r in got]).astype(float)
+        weight = np.concatenate([np.unpackbits(np.frombuffer(r["trained"], np.uint8), count=int.from_bytes(r["places"][:8], "little")) for r in got])
+        second[second == _NONE] = -1
+        logs = np.log10(in_contexts(number, weight.astype(np.int64), [first, second], below))
+        done = 0
+        for r in got:
+            used, place = np.unique(_unpack(r["places"], np.uint16), return_inverse=True)
+            out.append((r["chunk"], used.tobytes(), np.bincount(place, logs[done : done + len(place)]).tobytes(), None, None))
+            done += len(place)
+    return pa.Table.from_batches([_binary(out, _READ)])
 
 
 _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, score double"
 
 
 def _totals(rows: pa.Table) -> pa.Table:
-    """All shares of one step -> a row for each of its documents, the text's end not yet counted."""
-    got = sorted(rows.to_pylist(), key=lambda r: -1 if r["part"] is None else r["part"])
-    ids, valid, held, n = np.frombuffer(next(r["ids"] for r in got if r["ids"] is not None), np.int64).reshape(4, -1)
-    sums = np.zeros((3, len(ids)))
+    """All that one step's documents get -> a row for each of them."""
+    got = rows.to_pylist()
+    meta = next(r for r in got if r["ids"] is not None)
+    ids, valid, held, n = np.frombuffer(meta["ids"], np.int64).reshape(4, -1)
+    known, bases, score = np.frombuffer(meta["sums"], float).reshape(3, -1).copy()
     for r in got:
         if r["places"] is not None:
-            sums[:, np.frombuffer(r["places"], np.uint16)] += [np.frombuffer(r[c], float) for c in ("known", "bases", "logs")]
-    return pa.table({"doc_id": pa.array(ids, mask=valid == 0), "held_out": pa.array(held == 1), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(sums[0]).astype(np.int64)), "base_sum": pa.array(sums[1]), "score": pa.array(sums[2])})
+            score[np.frombuffer(r["places"], np.uint16)] += np.frombuffer(r["logs"], float)
+    return pa.table({"doc_id": pa.array(ids, mask=valid == 0), "held_out": pa.array(held == 1), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(known).astype(np.int64)), "base_sum": pa.array(bases), "score": pa.array(score)})
 
 
 def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
@@ -291,7 +367,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame
     empty or blank text has the end alone. n_known counts tokens that training has; train_tokens is N, all training tokens;
     base_score is the sum of log10((c + 0.5) / (N + 0.5 * (V + 1))) over tokens; score is the tree's log10 probability of
     the text. Repeated rows count each. Without training documents N is 0 and the tree uniform; an empty table gives an
-    empty result. docs must give the same rows in the same order when read again, as files do.
+    empty result.
     """
     spark = docs.sparkSession
     parts = fragments(spark)
@@ -304,20 +380,27 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame
     total = vocabulary.agg(F.sum("tokens").alias("n"), F.sum("known").alias("v")).first()
     n, v = (total.n or 0) + train, (total.v or 0) + (train > 0)
     pairs = _pairs(vocabulary, train)
-    end = np.log10(pairs[_BEGIN, _END_TEXT])
+    end = (train + v * pairs[_BEGIN, _END_TEXT]) / (n + v) if v else pairs[_BEGIN, _END_TEXT]
     pairs = spark.sparkContext.broadcast(pairs)
-    spelled = vocabulary.select("part", "words", "lengths", "counts").mapInArrow(_spelled(parts, pairs), _SPELLED).groupBy("part").applyInArrow(_grown(pairs), _LOGS)
+    spelled = vocabulary.select("part", "words", "lengths", "counts").mapInArrow(_spelled(parts), _SPELLED).groupBy("part").applyInArrow(_grown(pairs), _LOGS)
+    numbers, last = {}, _NUMBERS
+    for r in vocabulary.select("part", (F.length("hashes") / 8).cast("long").alias("n")).collect():
+        numbers[r.part] = last
+        last += r.n
+    if last >= _NONE:
+        raise ValueError("more than 2^32 distinct words")
     nothing = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
     none = F.lit(None).cast("long").alias("chunk")
-    both = own.select("part", "chunk", "hashes", "holders", "places", "times", *nothing("counts", "words", "logs"))
-    both = both.union(vocabulary.select("part", none, "hashes", *nothing("holders", "places", "times"), "counts", *nothing("words", "logs")))
-    both = both.union(spelled.select("home", none, *nothing("hashes", "holders", "places", "times", "counts"), "words", "logs"))
-    shares = both.groupBy("part").applyInArrow(_shares, _SHARE)
-    meta = runs.where("part is null").select("part", "chunk", *nothing("places", "known", "bases", "logs"), "ids")
-    sums = shares.union(meta).groupBy("chunk").applyInArrow(_totals, _RESULT)
+    both = own.select("part", "chunk", none.cast("int").alias("range"), "hashes", *nothing("words", "lengths", "counts", "logs"))
+    both = both.union(vocabulary.select("part", none, none.cast("int"), "hashes", "words", "lengths", "counts", *nothing("logs")))
+    both = both.union(spelled.select("home", none, F.col("part").alias("range"), *nothing("hashes", "words", "lengths", "counts"), "logs"))
+    shares = both.groupBy("part").applyInArrow(_shares(parts, numbers, pairs), _SHARE)
+    meta = runs.where("part is null").select("part", "chunk", *nothing("numbers", "counts", "logs"), "ids", "tokens")
+    places = shares.union(meta).groupBy("chunk").applyInArrow(_places(parts, float(end), n, v), _PLACE)
+    sums = places.groupBy("part").applyInArrow(_read, _READ).groupBy("chunk").applyInArrow(_totals, _RESULT)
     tokens = F.col("n_tokens") + 1
     base = F.col("base_sum") + math.log10(train + 0.5) - tokens * F.lit(math.log10(n + 0.5 * (v + 1)))
-    return sums.select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + int(train > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + float(end)).alias("score"))
+    return sums.select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + int(train > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
