@@ -448,3 +448,14 @@ def test_scores_read_across_tokens(spark, docs, corpus, tmp_path):
             assert all(math.isclose(x, log10(t), rel_tol=1e-6) for x in got[i])
         if own is rows:
             assert got[apart][0] < got[0][0] - 10
+
+
+def test_secrets_of_many_repositories(spark):
+    """A hash that many repositories of one owner have is copied; rows of one repository, however many, are not."""
+    many, few, one = ("ghp_" + x * 12 for x in ("aB3", "cD4", "eF5"))
+    rows = [(i, many, f"lang{i}", "src") for i in range(4)] + [(10 + i, few, f"lang{i}", "src") for i in range(3)] + [(20 + i, one, "en", "src") for i in range(9)] + [(30, "none", "en", "src")]
+    got = {r.doc_id: r for r in secret.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all((got[i].spans, got[i].n_owned, got[i].n_copied, got[i].n_owners, got[i].n_repos) == ("", 0, 1, 1, 4) for i in range(4))
+    assert all((got[i].spans, got[i].n_owned, got[i].n_repos) == ("vendor:0:40", 1, 3) for i in range(10, 13))
+    assert all((got[i].spans, got[i].n_owned, got[i].n_repos) == ("vendor:0:40", 1, 1) for i in range(20, 29))
+    assert (got[30].n_owners, got[30].n_repos) == (0, 0)

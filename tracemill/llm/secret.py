@@ -1,8 +1,8 @@
 """Operator 4: secret scans with corpus-wide ownership frequency.
 
 Candidates of every text are hashed; over the corpus the hashes are counted by distinct owners and repositories. What
-several owners have is a widely copied example; what one owner alone has may be live. The base kinds are always
-reported; of the further candidates (vendor tokens and words of high entropy) only those of one owner.
+several owners or many repositories have is a widely copied example; what is left may be live. The base kinds are always
+reported; of the further candidates (vendor tokens and words of high entropy) only what is not widely copied.
 """
 
 from __future__ import annotations
@@ -82,14 +82,15 @@ def signature(docs: DataFrame) -> F.Column:
     return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["doc_id"].isNull(), docs["text"].isNull())
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), owners: int = 2) -> DataFrame:
-    """One row per row of docs: doc_id, sig, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, marks.
+def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), owners: int = 2, repositories: int = 4) -> DataFrame:
+    """One row per row of docs: doc_id, sig, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied, n_owners, n_repos, marks.
 
     docs needs doc_id, text and the columns named as owner and repository; whatever else it has is ignored. A null owner
     or repository is one of its own. A null text is empty: no spans, and the digest of the empty string. base_sha256 is
     over kind:start:end of the base spans, spans the same listing of those and of each further candidate whose hash fewer
-    than `owners` owners have, in code points, by start, then kind. n_owned and n_copied count the candidates, base ones
-    included, on either side of that bound. marks are the spans as structs of start and end. sig is signature(docs).
+    than `owners` owners and fewer than `repositories` repositories have, in code points, by start, then kind. n_owned and
+    n_copied count the candidates, base ones included, on either side of these bounds; n_owners and n_repos are the most
+    owners and repositories that one of the row's hashes has, 0 without candidates. marks are the spans as structs of start and end. sig is signature(docs).
     Repeated rows are rows of their own; an empty table gives an empty result.
     """
     text = lambda c: F.coalesce(docs[c].cast("string"), F.lit("\0"))
@@ -102,14 +103,15 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str,
     # counted step by step, so that a hash which a third of all rows have is folded before it moves
     shared = each.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     shared = shared.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
-    judged = each.join(shared, "hash").withColumn("copied", F.col("n_owners") >= owners)
+    judged = each.join(shared, "hash").withColumn("copied", (F.col("n_owners") >= owners) | (F.col("n_repos") >= repositories))
     reported = F.when((F.col("kind") < 3) | ~F.col("copied"), F.struct("start", "kind", "end"))
-    listed = judged.groupBy("row").agg(F.array_sort(F.collect_list(reported)).alias("all"), F.count_if(~F.col("copied")).alias("n_owned"), F.count_if("copied").alias("n_copied"))
+    listed = judged.groupBy("row").agg(F.array_sort(F.collect_list(reported)).alias("all"), F.count_if(~F.col("copied")).alias("n_owned"), F.count_if("copied").alias("n_copied"), F.max("n_owners").alias("n_owners"), F.max("n_repos").alias("n_repos"))
     names = F.array(*map(F.lit, KINDS))
     said = F.array_join(F.transform("all", lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     out = scanned.drop("spans").join(listed, "row", "left")
     return out.select(
         "doc_id", "sig", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(said, F.lit("")).alias("spans"), F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("n_owners", F.lit(0)).alias("n_owners"), F.coalesce("n_repos", F.lit(0)).alias("n_repos"),
         F.coalesce(F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<start:long,end:long>>")).alias("marks"),
     )
 
