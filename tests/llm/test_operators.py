@@ -459,3 +459,29 @@ def test_secrets_of_many_repositories(spark):
     assert all((got[i].spans, got[i].n_owned, got[i].n_repos) == ("vendor:0:40", 1, 3) for i in range(10, 13))
     assert all((got[i].spans, got[i].n_owned, got[i].n_repos) == ("vendor:0:40", 1, 1) for i in range(20, 29))
     assert (got[30].n_owners, got[30].n_repos) == (0, 0)
+
+
+def test_leaks_of_texts_shorter_than_the_item(spark):
+    """Every part of an item that is a text of its own, and such parts with a changed word, against brute force."""
+    rng = random.Random(13)
+    item = [f"w{rng.randrange(200)}" for _ in range(59)]
+    items = [(1, item), (2, item[:50]), (3, item[:6]), (4, item[:5]), (5, item[:3])]
+    texts = [item[a:b] for a in range(12) for b in range(44, 60)] + [item[:k] for k in range(9)]
+    texts += [t[:j] + ["other"] + t[j + 1 :] for t in (item[1:], item[:57]) for j in (0, 20, 55)]
+    bags = lambda w, k: Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
+    want = Counter()
+    for item_id, b in items:
+        k = min(5, len(b))
+        for d, w in enumerate(texts):
+            n, found = min(len(w), len(b)), []
+            for a in range(len(w) - n + 1):
+                own, bag = bags(w[a : a + n], k), bags(b, k)
+                both, either = (own & bag).total(), (own | bag).total()
+                if both and 100 * both >= 80 * either:
+                    found.append((-both / either, a))
+            if found:
+                want[d, item_id, min(found)[1], n, round(-min(found)[0], 9), len(found)] += 1
+    assert sum(len(texts[d]) < len(dict(items)[i]) for d, i, *_ in want) > 60
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(b)) for i, b in items], "item_id long, text string")
+    assert Counter((r.doc_id, r.item_id, r.first_word, r.n_words, round(r.similarity, 9), r.n_windows) for r in decontaminate.find_leaks(docs, bench).collect()) == want

@@ -1,6 +1,6 @@
 """Operator 7: benchmark decontamination by SimHash of item-sized windows.
 
-A window of a text has as many words as an item. Windows and items get a SimHash of their five-word shingles, each as
+A window of a text has as many words as an item; a text with fewer is one window. Windows and items get a SimHash of their five-word shingles, each as
 often as it stands there. A multi-index takes items within RADIUS of a window's fingerprint: of BLOCKS blocks of bits
 one at least differs in RADIUS // BLOCKS bits or fewer, so each item stands under all such values of each block, and a
 lookup of a window's blocks misses none within the radius. Candidates are verified by exact weighted Jaccard similarity
@@ -88,6 +88,8 @@ class Items:
     def hits(self, shingles: dict[int, np.ndarray], places: dict[int, np.ndarray], n: int, percent: int) -> list[tuple]:
         """For a text of n words, its shingles by width and the places of those in the bitmap: (item, start, words, similarity, windows)."""
         by_size: dict[int, set[int]] = {}
+        longer: set[int] = set()
+        m = n - K + 1
         for k, at in places.items():
             s = shingles[k]
             for p in at.tolist():
@@ -95,7 +97,18 @@ class Items:
                     size = self.sizes[i]
                     if min(K, size) == k and size <= n:
                         by_size.setdefault(size, set()).update(range(max(0, p - size + k), min(p, n - size) + 1))
+                    elif size > n and 100 * m >= percent * (size - K + 1):
+                        longer.add(size)
         best: dict[int, list] = {}
+        if longer:  # the whole text against items with more words
+            s = shingles[K][:m]
+            window, print_ = Counter(s.tolist()), fingerprints(_bits(s), np.array([0]), m)[0]
+            for size in longer:
+                for i in self.near(size, print_):
+                    common = (window & self.bags[i]).total()
+                    union = m + size - K + 1 - common
+                    if 100 * common >= percent * union:
+                        best[i] = [common / union, 0, 1]
         for size, found in by_size.items():
             starts = np.array(sorted(found))
             k = min(K, size)
@@ -112,7 +125,7 @@ class Items:
                         got[2] += 1
                         if common / union > got[0]:
                             got[:2] = common / union, start
-        return [(self.ids[i], start, self.sizes[i], similarity, windows) for i, (similarity, start, windows) in sorted(best.items())]
+        return [(self.ids[i], start, min(n, self.sizes[i]), similarity, windows) for i, (similarity, start, windows) in sorted(best.items())]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
@@ -121,7 +134,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Data
     docs needs doc_id and text, benchmark item_id and text; whatever else they have is ignored. A-Z is lower-cased; words
     are runs of letters, digits and all beyond ASCII; an item of fewer than five words is one shingle of all. similarity
     is weighted Jaccard, as a fraction, of the best window, the first of several; n_windows counts those with percent / 100
-    or more. Null, empty or wordless texts and items match nothing, nor do texts shorter than the item; a null doc_id or
+    or more. Null, empty or wordless texts and items match nothing, nor do texts of fewer words than a shingle; a
+    text with fewer words than the item is its only window. A null doc_id or
     item_id stays null. Repeated rows and items give repeated rows; an empty table gives an empty result. sig is a hash of
     doc_id and text. Similar pairs are missed only where their fingerprints differ in more than RADIUS bits.
     """
