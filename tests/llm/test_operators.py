@@ -485,3 +485,23 @@ def test_leaks_of_texts_shorter_than_the_item(spark):
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(b)) for i, b in items], "item_id long, text string")
     assert Counter((r.doc_id, r.item_id, r.first_word, r.n_words, round(r.similarity, 9), r.n_windows) for r in decontaminate.find_leaks(docs, bench).collect()) == want
+
+
+@pytest.mark.parametrize("window", [7, 13])
+def test_substring_of_few_words(window):
+    """Steps of 0 to 14 words in all, in one text or two."""
+    import numpy as np
+
+    for n in range(15):
+        h = np.arange(100, 100 + n, dtype=np.uint64)
+        for first in ([0, n], [0, n // 2, n]):
+            anchor, whole = substring._anchors(h, np.array(first), window)
+            gram, _ = substring.W.shingles(h, np.array(first), substring.GRAM)
+            want = [i for a, b in zip(first, first[1:], strict=False) for i in range(a, b - window + 1)]
+            assert np.flatnonzero(whole).tolist() == want
+            assert [int(anchor[i]) for i in want] == [int(gram[i : i + window - substring.GRAM + 1].min()) for i in want]
+
+
+def test_substring_of_a_table_of_three_words(spark):
+    rows = spark.createDataFrame([(1, "one two three")], "doc_id long, text string").coalesce(1)
+    assert table(substring.substring_dedup(rows), "doc_id", "n_words", "n_removed") == Counter([(1, 3, 0)])

@@ -40,7 +40,8 @@ def _anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray,
     least, span, width = gram.copy(), 1, window - GRAM + 1
     while span < width:
         step = min(span, width - span)
-        least[: len(least) - step] = np.minimum(least[: len(least) - step], least[step:])
+        if step < len(least):  # no window is longer than all words
+            least[: len(least) - step] = np.minimum(least[: len(least) - step], least[step:])
         span += step
     return least, whole
 
