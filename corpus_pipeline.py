@@ -24,10 +24,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the smallest doc_id stays; documents without words all stay."""
-    found = jaccard.jaccard_components(docs)
-    gone = found.where((F.col("n_shingles") > 0) & (F.col("component_id") < F.col("doc_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of rows that links join, one with the smallest doc_id stays, a null one last; rows without words all stay.
+
+    Rows are told apart by their signature; of repeated rows, which share it, any one stays.
+    """
+    signed = docs.withColumn("dup_sig", secret.signature(docs))
+    found = jaccard.jaccard_components(signed.select(F.col("dup_sig").alias("doc_id"), "text")).where("n_shingles > 0")
+    found = materialize(found.groupBy(F.col("doc_id").alias("sig")).agg(F.first("component_id").alias("component"), F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "sig")
+    ids = signed.select(F.col("dup_sig").alias("sig"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    keep = found.join(ids, "sig").groupBy("component").agg(F.min(order)["sig"].alias("sig"))
+    gone = found.join(keep, "sig", "left_anti").select(F.col("sig").alias("dup_sig"))
+    repeated = found.where("n > 1").select(F.col("sig").alias("dup_sig"))
+    left = signed.join(gone, "dup_sig", "left_anti")
+    return left.join(repeated, "dup_sig", "left_anti").unionByName(left.join(repeated, "dup_sig", "left_semi").dropDuplicates(["dup_sig"])).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

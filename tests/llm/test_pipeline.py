@@ -62,3 +62,22 @@ def test_stages(spark, folder):
         ids = known.encode(got[r.doc_id].text, add_special_tokens=False).ids
         assert (r.ids, r.n_tokens) == (ids, len(ids))
         assert r.decoded_sha256 == hashlib.sha256(got[r.doc_id].text.encode()).hexdigest()
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
+    """Exactly one row of each group stays, whatever the doc_ids; clean text under a doc_id that repeats stays too."""
+    rng = random.Random(10)
+    say = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    a, b, c, d, clean, nulls = (say() for _ in range(6))
+    near = lambda t: t.rsplit(" ", 2)[0]
+    rows = [(1, a), (1, a), (1, a), (2, b), (None, near(b)), (3, c), (4, near(c)), (4, clean), (5, d), (5, near(d)), (None, nulls), (None, nulls), (None, near(nulls)), (None, None), (6, ""), (6, "")]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    own = {5: [(5, d), (5, near(d))], None: [(None, nulls), (None, near(nulls))]}
+    for x in own.values():
+        assert sum(got.count(r) for r in x) == 1
+    rest = [r for r in got if r not in own[5] + own[None]]
+    assert sorted(rest, key=str) == sorted([(1, a), (2, b), (3, c), (4, clean), (None, None), (6, ""), (6, "")], key=str)
