@@ -1,10 +1,11 @@
 """Operator 9: exact n-gram Jaccard join by vertical partitioning.
 
 The shingles of all documents have one global order: rising power of two of their document frequency, then hash. It is
-cut into fragments, one per power; a document is cut into segments by them. Only documents that share enough of
+cut into fragments, POWERS powers each; a document is cut into segments by them. Only documents that share enough of
 their shingles with others can have a partner, and only pairs that share a shingle of both prefixes (the rarest
-n - ceil(0.8 n) + 1 of n) can be similar. The overlap of a candidate pair is counted fragment by fragment, the partial
-counts are summed per pair, and 100 * overlap >= percent * union is tested in whole numbers.
+n - ceil(0.8 n) + 1 of n) can be similar. Of a candidate pair, each fragment's segments are joined and their overlap is
+counted on its own, a row for each pair and fragment; the partial counts are summed per pair, and
+100 * overlap >= percent * union is tested in whole numbers.
 
 Document frequencies come from all shingles of all documents. They travel as sorted binary runs, cut by hash range, and
 return to their documents the same way; a shingle that many documents hold costs ten bytes per holder there, and no
@@ -13,8 +14,9 @@ pairs.
 Candidates never are all pairs of a group. Documents with equal sets are one class. In each group of classes that share
 a prefix shingle, members are first tested against one leader, the one whose shingles are the most frequent. Links that
 hold make components; only members of different components of a group are tested on, against a second leader, and then
-each against each other of them. So a group of near copies costs as many tests as it has members, and no link between
-components is missed.
+against each other. Every such pair has to pass the positional bound where it meets: a pair that meets at its first
+common shingle can have no more in common than what either has from there on, so similar pairs pass at that place. A
+group of near copies costs as many tests as it has members, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ from . import words as W
 from .common import documents, fragments, materialize, texts
 from .links import components
 
+#: So many powers of two of the document frequency make a fragment.
+POWERS = 3
+
 _RUN = "part int, chunk long, hashes binary, places binary, counts binary, ids binary"
 _SET = "uid long, doc_id long, n long, sum1 long, sum2 long, weight double, prefix array<long>, prefix_at array<int>, alone int, shared array<long>, cut array<int>"
 
@@ -122,7 +127,7 @@ def _prefixes(percent: int):
         h, text, df, rank = h[by], text[by], df[by], rank[by]
         shared = np.bincount(text, minlength=m)
         edge = np.concatenate([[0], np.cumsum(shared)])
-        fragment = rank.astype(np.int32)
+        fragment = (rank.astype(np.int32) - 1) // POWERS
         need = (percent * n + 99) // 100
         weight = np.bincount(text, weights=df, minlength=m) / np.maximum(n, 1)
         out = []
@@ -143,15 +148,11 @@ def _prefixes(percent: int):
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, na, nb) the (a, b) that are similar: overlaps counted per fragment and summed per pair, which stays one row."""
-    left = segments.select(F.col("uid").alias("a"), F.col("segments").alias("left"))
-    right = segments.select(F.col("uid").alias("b"), F.col("segments").alias("right"))
-
-    def partial(fragment: F.Column) -> F.Column:
-        return F.when(F.map_contains_key("right", fragment), F.size(F.array_intersect(F.element_at("left", fragment), F.element_at("right", fragment)))).otherwise(0)
-
-    total = F.aggregate(F.map_keys("left"), F.lit(0), lambda s, fragment: s + partial(fragment)).cast("long")
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", total.alias("overlap"))
+    """Of distinct pairs (a, b, na, nb) the (a, b) that are similar: a partial overlap for each pair and fragment, summed per pair."""
+    left = segments.select(F.col("uid").alias("a"), "fragment", F.col("segment").alias("left"))
+    right = segments.select(F.col("uid").alias("b"), "fragment", F.col("segment").alias("right"))
+    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).cast("long").alias("partial"))
+    counted = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
     return counted.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
@@ -177,47 +178,44 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     classes = able.groupBy("n", "sum1", "sum2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("class_id"))
     classes = materialize(classes)
     reps = able.join(classes.select(F.col("rep").alias("uid")), "uid")
-    reps = materialize(reps.select("uid", "n", "weight", "prefix", "prefix_at", "alone", "shared", "cut"))
+    reps = materialize(reps.select("uid", "n", "weight", "prefix", "prefix_at", "shared", "cut"))
     segments = reps.select("uid", F.explode(F.arrays_zip("cut", "shared")).alias("x")).groupBy("uid", F.col("x.cut").alias("fragment")).agg(F.collect_list("x.shared").alias("segment"))
-    segments = materialize(segments.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("fragment", "segment"))).alias("segments")))
-
-    posted = reps.select("uid", "n", "weight", "alone", F.explode(F.arrays_zip("prefix", "prefix_at")).alias("x")).select("uid", "n", "weight", "alone", F.col("x.prefix").alias("key"), F.col("x.prefix_at").alias("at"))
-    held = posted.groupBy("key").agg(F.count("*").alias("holders"), F.max_by("uid", F.struct("weight", -F.col("uid"))).alias("lead")).where("holders > 1").drop("holders")
-    posted = materialize(posted.join(held, "key"))
-    ends = lambda member, other: (F.least(member, other).alias("a"), F.greatest(member, other).alias("b"))
-    sizes = reps.select("uid", "n", "alone")
-
-    def enough(most, one, two):
-        """Whether an overlap of at most so much can make sets of these sizes similar."""
-        return (most > 0) & (100 * most >= percent * (one + two - most))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) with both sizes, where those and the shingles that no other document has allow the similarity."""
-        pairs = pairs.distinct().join(sizes.toDF("a", "na", "ua"), "a").join(sizes.toDF("b", "nb", "ub"), "b")
-        return pairs.where(enough(F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub")), F.col("na"), F.col("nb"))).drop("ua", "ub")
-
-    links = materialize(_verified(sized(posted.where("uid <> lead").select(*ends("uid", "lead"))), segments, percent))
-    found = materialize(components(links)).toDF("uid", "component")
+    segments = materialize(segments)
+
+    posted = reps.select("uid", "n", "weight", F.explode(F.arrays_zip("prefix", "prefix_at")).alias("x")).select("uid", "n", "weight", F.col("x.prefix").alias("key"), F.col("x.prefix_at").alias("at"))
+    heaviest = F.struct("weight", -F.col("uid"))
+    held = posted.groupBy("key").agg(F.count("*").alias("holders"), F.max_by(F.struct("uid", "n", "at"), heaviest).alias("lead")).where("holders > 1").drop("holders")
+    # written first, so that the join of a key that many documents hold can be split
+    state = materialize(posted.join(materialize(held), "key"))
+
+    def possible(n1, at1, n2, at2):
+        """Whether sets of these sizes can be similar if what stands before these places in their orders is not common to them."""
+        most = F.least(n1 - at1, n2 - at2)
+        return 100 * most >= percent * (n1 + n2 - most)
+
+    with_lead = possible(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")) & (F.col("uid") != F.col("lead.uid"))
+    ends = F.least("uid", "lead.uid").alias("a"), F.greatest("uid", "lead.uid").alias("b"), F.when(F.col("uid") < F.col("lead.uid"), F.col("n")).otherwise(F.col("lead.n")).alias("na"), F.when(F.col("uid") < F.col("lead.uid"), F.col("lead.n")).otherwise(F.col("n")).alias("nb")
+    links = materialize(_verified(state.where(with_lead).select(*ends).distinct(), segments, percent))
     for last in (False, True):
-        state = posted.drop("lead").join(found, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        state = materialize(state.join(mixed, "key"))
+        found = materialize(components(links)).toDF("uid", "component")
+        state = state.drop("lead", "component").join(found, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+        mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", heaviest).alias("main")).where("low < high").select("key", "main")
+        state = materialize(state.join(materialize(mixed), "key"))
         if state.isEmpty():
             break
         if last:
-            # each against each of another component of its group, where the sizes and the places in the order allow it
-            one, two = (state.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("uid", "n", "alone", "at", "component"))) for i in "12")
-            before = F.least(F.col("at1") - F.col("alone1"), F.col("at2") - F.col("alone2"))
-            after = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-            rest = one.join(two, "key").where("uid1 < uid2 and component1 <> component2").where(enough(before + after, F.col("n1"), F.col("n2"))).select(F.col("uid1").alias("a"), F.col("uid2").alias("b"))
+            # each against each of another component of its group, where the places in the order allow it
+            one, two = (state.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("uid", "n", "at", "component"))) for i in "12")
+            near = (F.col("uid1") < F.col("uid2")) & (F.col("component1") != F.col("component2")) & possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"))
+            rest = one.join(two, "key").where(near).select(F.col("uid1").alias("a"), F.col("uid2").alias("b"), F.col("n1").alias("na"), F.col("n2").alias("nb"))
         else:
             # a second leader: the heaviest outside of the heaviest's component
-            main = state.groupBy("key").agg(F.max_by("component", F.struct("weight", -F.col("uid"))).alias("main"))
-            second = state.join(main, "key").where("component <> main").groupBy("key").agg(F.max_by(F.struct("uid", "component"), F.struct("weight", -F.col("uid"))).alias("lead"))
-            rest = state.join(second, "key").where("component <> lead.component").select(*ends("uid", "lead.uid"))
-        more = _verified(sized(rest), segments, percent)
+            second = state.where("component <> main").groupBy("key").agg(F.max_by(F.struct("uid", "n", "at", "component"), heaviest).alias("lead"))
+            rest = state.join(materialize(second), "key").where(F.col("component") != F.col("lead.component")).where(with_lead).select(*ends)
+            state = state.drop("main")
+        more = _verified(rest.distinct(), segments, percent)
         links = materialize(links.union(more).distinct())
-        found = materialize(components(links)).toDF("uid", "component")
+    found = materialize(components(links)).toDF("uid", "component")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = classes.join(found.toDF("rep", "component"), "rep", "left").join(degree, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
