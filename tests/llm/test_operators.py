@@ -448,6 +448,8 @@ def test_scores_read_across_tokens(spark, docs, corpus, tmp_path):
             assert all(math.isclose(x, log10(t), rel_tol=1e-6) for x in got[i])
         if own is rows:
             assert got[apart][0] < got[0][0] - 10
+            dealt = {r.doc_id: r.score for r in suffix_tree.score_documents(df, together=40).collect()}
+            assert all(math.isclose(dealt[i], got[i][0], rel_tol=1e-9) for i in dealt)
 
 
 def test_secrets_of_many_repositories(spark):
