@@ -17,41 +17,53 @@ from tracemill.llm.common import documents, materialize
 REDACTED = "[secret]"
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, and its column's name. docs is a written table: read again, it gives the same rows the same numbers."""
+    row = _free(docs, "row")
+    return docs.withColumn(row, F.monotonically_increasing_id()), row
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a learned rule rejects go; the rules are learned from `labels` and this stage's input."""
-    rules = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, rules).where("verdict.kept").drop("verdict")
+    rules, verdict = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), _free(docs, "verdict")
+    return quality.judge(docs, rules, name=verdict).where(F.col(verdict)["kept"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of rows that links join, one with the smallest doc_id stays, a null one last; rows without words all stay.
-
-    Rows are told apart by their signature; of repeated rows, which share it, any one stays.
-    """
-    signed = docs.withColumn("dup_sig", secret.signature(docs))
-    found = jaccard.jaccard_components(signed.select(F.col("dup_sig").alias("doc_id"), "text")).where("n_shingles > 0")
-    found = materialize(found.groupBy(F.col("doc_id").alias("sig")).agg(F.first("component_id").alias("component"), F.count("*").alias("n")))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "sig")
-    ids = signed.select(F.col("dup_sig").alias("sig"), F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    keep = found.join(ids, "sig").groupBy("component").agg(F.min(order)["sig"].alias("sig"))
-    gone = found.join(keep, "sig", "left_anti").select(F.col("sig").alias("dup_sig"))
-    repeated = found.where("n > 1").select(F.col("sig").alias("dup_sig"))
-    left = signed.join(gone, "dup_sig", "left_anti")
-    return left.join(repeated, "dup_sig", "left_anti").unionByName(left.join(repeated, "dup_sig", "left_semi").dropDuplicates(["dup_sig"])).select(*docs.columns)
+    """Of each group of rows that links join, one with the smallest doc_id stays, a null one last; rows without words all stay."""
+    numbered, row = _numbered(docs)
+    found = jaccard.jaccard_components(numbered.select(F.col(row).alias("doc_id"), "text")).where("n_shingles > 0")
+    found = materialize(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    grouped = materialize(found.join(several, "component").join(ids, "row"))
+    keep = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    gone = materialize(grouped.join(keep, "row", "left_anti").select(F.col("row").alias(row)))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage that is similar to a benchmark item go."""
-    leaks = materialize(decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("sig").distinct())
-    signed = docs.withColumn("leak_sig", secret.signature(docs))
-    return signed.join(leaks, signed["leak_sig"] == leaks["sig"], "left_anti").select(*docs.columns)
+    numbered, row = _numbered(docs)
+    found = decontaminate.find_leaks(numbered.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = materialize(found.select(F.col("doc_id").alias(row)).distinct())
+    return numbered.join(leaks, row, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the scan reports is replaced by REDACTED; overlapping spans are one. n_chars follows the text."""
-    found = secret.find_secrets(docs).where(F.size("marks") > 0).groupBy("sig").agg(F.first("marks").alias("marks"))
-    signed = docs.withColumn("secret_sig", secret.signature(docs))
-    joined = signed.join(found, signed["secret_sig"] == found["sig"], "left")
+    numbered, row = _numbered(docs)
+    found = secret.find_secrets(numbered.select(F.col(row).alias("doc_id"), "text", "source", "lang"))
+    found = materialize(found.where(F.size("marks") > 0).select(F.col("doc_id").alias("number"), "marks"))
+    own = F.struct(*(numbered[c] for c in docs.columns)).alias("own")
+    joined = numbered.select(F.col(row).alias("number"), own, F.col("text").cast("string").alias("text")).join(found, "number", "left")
     # (text so far, end of what is done) over the spans by start
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("done"))
 
@@ -61,9 +73,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(REDACTED))).otherwise(acc["out"]).alias("out"), F.greatest(acc["done"], mark["end"]).alias("done"))
 
     clean = F.aggregate("marks", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["done"] + 1).cast("int"), F.length("text"))))
-    joined = joined.withColumn("secret_text", F.when(F.col("marks").isNull(), F.col("text")).otherwise(clean))
-    new = {"text": F.col("secret_text"), "n_chars": F.when(F.col("marks").isNull(), F.col("n_chars")).otherwise(F.length("secret_text").cast("long"))}
-    return joined.select(*(new.get(c, joined[c]).alias(c) for c in docs.columns))
+    joined = joined.withColumn("clean", F.when(F.col("marks").isNull(), F.col("text")).otherwise(clean))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("marks").isNull(), F.col("own.n_chars")).otherwise(F.length("clean").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("clean")}
+    return joined.select(*(new.get(c, F.col("own")[c]).alias(c) for c in docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
