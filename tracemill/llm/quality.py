@@ -4,7 +4,7 @@ A decision list is learned by sequential covering from labelled statistics. Rule
 reject. A rule is grown on two thirds of the labelled rows, condition by condition, each the one with the largest gain of
 information over the rows the rule still covers; then pruned on the last third, from its last condition back, to the
 prefix with the best (p - n) / (p + n). It is kept if it is precise there, the rows it covers are set aside, and the next
-one is grown. The list becomes one ordered conditional expression.
+one is grown; what a rule covers that is not precise is set aside for growing only. The list becomes one ordered conditional expression.
 
 The labelled rows are a sample of a bounded number; their statistics are binned in Spark by the quantiles of each, and all
 that reaches the driver is a histogram of bins by class for each condition.
@@ -24,6 +24,8 @@ _GAP = r"[\x20\x09-\x0D]+"
 LABELLED_ROWS = 20_000
 #: Thresholds tried for each statistic; conditions of a rule; rules of a list; labelled rows that a rule covers at least.
 BINS, CONDITIONS, RULES, SUPPORT = 64, 4, 12, 10
+#: Rules grown at most, those that are not precise enough to keep included.
+TRIES = 16
 #: Share of low quality among the held-out rows that a rule covers, at least.
 PRECISION = 0.95
 #: What the rules may test, by name: expressions over the counts of statistics().
@@ -49,7 +51,7 @@ def _among(text: Column, kind: str) -> Column:
 
 
 def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
-    """docs with the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _MORE, as a struct column `counts`.
+    """Two structs: `row`, docs' columns, and `counts`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _MORE.
 
     Each text is taken whole, in its row. A window's words are hashed to 64 bits; windows of a text with equal hashes
     count as equal. A text without repeated windows, which is known by the number of distinct hashes, is not sorted.
@@ -85,7 +87,7 @@ def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
         "n_distinct": F.size(F.array_distinct("words")),
         "n_lines": F.size("lines"),
     }
-    return again.select("row", F.struct(*(c.cast("long").alias(k) for k, c in counts.items())).alias("counts")).select("row.*", "counts")
+    return again.select("row", F.struct(*(c.cast("long").alias(k) for k, c in counts.items())).alias("counts"))
 
 
 def _features() -> Column:
@@ -117,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, precisi
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("text is not null")
     # at most `rows` ids and labels, some hundred KB
-    sample = statistics(own.join(F.broadcast(known), "doc_id")).select((F.col("quality") == 0).alias("low"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("held"), "counts.*")
+    sample = statistics(own.join(F.broadcast(known), "doc_id")).select((F.col("row.quality") == 0).alias("low"), (F.pmod(F.xxhash64("row.doc_id", F.lit(1)), F.lit(3)) == 0).alias("held"), "counts.*")
     sample = materialize(sample.select("low", "held", _features().alias("features")))
     cuts = sample.agg(*(F.percentile_approx(F.col("features")[k], [i / BINS for i in range(1, BINS)], 10_000).alias(k) for k in FEATURES)).first()
     if cuts is None or any(cuts[k] is None for k in FEATURES):
@@ -142,7 +144,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, precisi
         return r.p, r.n
 
     grow, test, rules = ~F.col("held"), F.col("held"), []
-    while len(rules) < RULES:
+    for _ in range(TRIES):
+        if len(rules) == RULES:
+            break
         rule: Rule = []
         while len(rule) < CONDITIONS:
             bars = histogram(grow & _condition(rule))
@@ -164,15 +168,17 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, precisi
             if best is None:
                 break
             rule.append(best)
+        if not rule:
+            break
         # the prefix that does best on the rows held out
         scored = [(k, *covered(rule[:k], test)) for k in range(1, len(rule) + 1)]
         scored = [((p - n) / (p + n), p, -k) for k, p, n in scored if p + n > 0]
-        if not scored:
-            break
-        worth, p, k = max(scored)
-        rule = rule[:-k]
+        worth, p, k = max(scored, default=(-1.0, 0, -len(rule)))
         if (worth + 1) / 2 < precision or p < SUPPORT / 2:
-            break
+            # what it covers is set aside for growing alone, and others are tried
+            grow = grow & ~_condition(rule)
+            continue
+        rule = rule[:-k]
         rules.append(rule)
         grow, test = grow & ~_condition(rule), test & ~_condition(rule)
     return rules
@@ -188,21 +194,20 @@ def expression(rules: list[Rule]) -> Column:
     return out.otherwise(0)
 
 
-def judge(docs: DataFrame, rules: list[Rule], min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
-    """docs with a struct column `verdict`: the base counts, base_failed, rule and kept.
+def judge(docs: DataFrame, rules: list[Rule], min_words: int = 20, repeat_percent: int = 30, name: str = "verdict") -> DataFrame:
+    """docs with a struct column `name`: the base counts, base_failed, rule and kept.
 
     base_failed: fewer than min_words words, or over repeat_percent of 100 words in repeated windows. rule: the number of
-    the first rule that rejects, or 0. kept: neither. docs needs text; other columns pass through, but one named counts,
-    features or verdict is not allowed. A null text has no words and fails. Repeated rows are judged alike.
+    the first rule that rejects, or 0. kept: neither. docs needs text; all other columns pass through, whatever their names,
+    but one called `name` is replaced. A null text has no words and fails. Repeated rows are judged alike.
     """
     base = (F.col("counts.n_words") < min_words) | (100 * F.col("counts.n_repeat_words") > repeat_percent * F.col("counts.n_words"))
-    counted = statistics(docs)
     features = F.struct(*(F.expr(_qualified(e)).cast("double").alias(k) for k, e in FEATURES.items()))
-    ruled = counted.withColumn("features", features).withColumn("rule", expression(rules).cast("int"))
+    ruled = statistics(docs).withColumn("features", features).withColumn("rule", expression(rules).cast("int"))
     # always true, and not deterministic: a filter on the verdict stays above it, else its copy of the expressions would be nested many times over
     here = F.monotonically_increasing_id() >= 0
     verdict = F.struct(*(F.col(f"counts.{c}").alias(c) for c in _COUNTS), base.alias("base_failed"), F.col("rule"), (~base & (F.col("rule") == 0) & here).alias("kept"))
-    return ruled.withColumn("verdict", verdict).select(*docs.columns, "verdict")
+    return ruled.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != name), verdict.alias(name))
 
 
 def _qualified(e: str) -> str:
