@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +43,19 @@ def _random(word: str) -> bool:
     return -sum(n / len(word) * math.log2(n / len(word)) for n in Counter(word).values()) >= ENTROPY_BITS
 
 
+class _Taken:
+    """Spans, in which overlaps are looked up by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, int, str]]):
+        own = sorted((x[1], x[2]) for x in spans)
+        self.starts, self.ends = [a for a, _ in own], list(accumulate((b for _, b in own), max))
+
+    def free(self, span: tuple[int, int, int, str]) -> bool:
+        """Whether none of them overlaps it."""
+        i = bisect_left(self.starts, span[2])
+        return not i or self.ends[i - 1] <= span[1]
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """All candidates of a text: kind's number, start, end (code points, end exclusive) and the secret itself, by start, then kind.
 
@@ -54,13 +69,12 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     for a, b in runs:
         base += [(1, *m.span(), m[0]) for m in _ACCESS.finditer(text, a, b)]
         base += [(2, *m.span(), m[0]) for m in _HEX.finditer(text, a, b)]
-    more: list[tuple[int, int, int, str]] = []
+    taken, more = _Taken(base), []
     for a, b in runs:
-        found = [(3, *m.span(), m[0]) for m in _VENDOR.finditer(text, a, b)]
-        found += [(4, *m.span(), m[0]) for m in _ENTROPY.finditer(text, a, b) if _random(m[0])]
-        for x in found:
-            if all(x[2] <= y[1] or y[2] <= x[1] for y in (*base, *(z for z in more if z[1] >= a))):
-                more.append(x)
+        vendor = [x for m in _VENDOR.finditer(text, a, b) if taken.free((x := (3, *m.span(), m[0])))]
+        own = _Taken(vendor)
+        more += vendor
+        more += [x for m in _ENTROPY.finditer(text, a, b) if _random(m[0]) and taken.free((x := (4, *m.span(), m[0]))) and own.free(x)]
     return sorted(base + more, key=lambda x: (x[1], x[0], x[2]))
 
 
