@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -463,6 +464,71 @@ def test_secrets_of_many_repositories(spark):
     assert (got[30].n_owners, got[30].n_repos) == (0, 0)
 
 
+def test_secrets_added_against_brute_force(spark):
+    """Further candidates, their overlaps and the counts of their hashes, over texts that mix all kinds."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefGHIJKLmnop0123456789") for _ in range(n))
+    pool = [word(n) for n in (20, 24, 30, 22)] + ["ghp_" + word(36), "sk_live_" + word(18), "AKIA" + "Q7" * 8, "0a1b" * 9, "aaaa" * 8, "abc1" * 6]
+    rows = []
+    for i in range(160):
+        text = "".join(rng.choice(["", "token: ", "password=", "x "]) + rng.choice(pool) + rng.choice([" ", "\n", "é ", "", "/", "-"]) for _ in range(rng.randint(0, 6)))
+        rows.append((i, text or None, f"l{rng.randrange(3)}", f"s{rng.randrange(8)}"))
+    kinds = ["assign", "access", "hex", "vendor", "entropy"]
+    further = [(3, re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,})")), (4, re.compile("[A-Za-z0-9+/_-]{20,}"))]
+
+    def spans(text):
+        found = [(m.start(), 0, m.end(), m[2]) for m in re.finditer(r"""(?:(?i:password|token))(["']?) *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+        found += [(m.start(), k, m.end(), m[0]) for k, e, n in ((1, "AKIA[A-Z0-9]+", 16), (2, "[0-9a-f]+", 32)) for m in re.finditer(e, text) if len(m[0]) >= n]
+        more = []
+        for k, e in further:
+            for m in e.finditer(text):
+                share = [m[0].count(c) / len(m[0]) for c in set(m[0])]
+                if k == 4 and (sum(-x * math.log2(x) for x in share) < 3.5 or not all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))):
+                    continue
+                if not any(a < m.end() and m.start() < b for a, _, b, _ in found + more):
+                    more.append((m.start(), k, m.end(), m[0]))
+        return sorted(found + more)
+
+    held = defaultdict(set)
+    for _, t, lang, source in rows:
+        for *_, s in spans(t or ""):
+            held[s].add((source, lang))
+    copied = lambda s: len({x for x, _ in held[s]}) >= 6 or len(held[s]) >= 14
+    want = {}
+    for i, t, *_ in rows:
+        own = spans(t or "")
+        want[i] = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b, s in own if k < 3 or not copied(s)), sum(not copied(s) for *_, s in own), sum(copied(s) for *_, s in own)
+    got = secret.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), owners=6, repositories=14)
+    got = {r.doc_id: (r.spans, r.n_owned, r.n_copied) for r in got.collect()}
+    assert got == want
+    said = " ".join(x for x, *_ in want.values())
+    assert all(f"{k}:" in said for k in kinds) and any(n for _, _, n in want.values())
+
+
+def test_secrets_of_a_text_with_many():
+    """A hundred thousand candidates in one text."""
+    rng = random.Random(22)
+    text = " ".join("".join(rng.choice("abcdefGHIJKLmnop0123456789") for _ in range(24)) + " token=" + "z" * 9 for _ in range(50_000))
+    assert len(secret.candidates(text)) > 90_000
+
+
+def test_leaks_index_selects():
+    """Of many items a lookup meets a few, and all of those within the radius."""
+    rng = random.Random(23)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(2000)]
+    items = decontaminate.Items(list(enumerate(texts)))
+    keys, at = items.index[30]
+    tried = met = 0
+    for i in range(0, 2000, 40):
+        changed = items.prints[i].copy()
+        for bit in rng.sample(range(decontaminate.BITS), decontaminate.RADIUS):
+            changed[bit // 16] ^= np.uint16(1 << bit % 16)
+        assert i in items.near(30, changed)
+        probes = ((np.arange(decontaminate.BLOCKS, dtype=np.int32) << 16)[:, None] | (changed[:, None] ^ items._lookups)).ravel()
+        tried, met = tried + 1, met + len({int(x) for a, b in zip(np.searchsorted(keys, probes), np.searchsorted(keys, probes, "right")) for x in at[a:b]})
+    assert met / tried < 0.12 * 2000
+
+
 def test_leaks_of_texts_shorter_than_the_item(spark):
     """Every part of an item that is a text of its own, and such parts with a changed word, against brute force."""
     rng = random.Random(13)

@@ -81,3 +81,20 @@ def test_near_duplicates_of_repeated_and_null_ids(spark, tmp_path):
         assert sum(got.count(r) for r in x) == 1
     rest = [r for r in got if r not in own[5] + own[None]]
     assert sorted(rest, key=str) == sorted([(1, a), (2, b), (3, c), (4, clean), (None, None), (6, ""), (6, "")], key=str)
+
+
+def test_stages_of_empty_tables_and_clashing_columns(spark, folder, tmp_path):
+    """Columns with the names that stages use themselves pass through; an empty table stays one."""
+    path, _ = folder
+    own = ["row", "row_", "verdict", "rule", "counts", "features", "number", "own", "marks", "clean", "component", "hash", "sig"]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    wide = materialize(docs.selectExpr("*", *(f"concat('{c}', doc_id) AS {c}" for c in own)))
+    empty = materialize(wide.where("false"))
+    left = None
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide, empty = materialize(stage(spark, wide, path)), materialize(stage(spark, empty, path))
+        assert wide.columns == empty.columns == [*docs.columns, *own] and empty.count() == 0
+        for r in wide.collect():
+            assert all(r[c] == f"{c}{r.doc_id}" for c in own)
+    left = {r.doc_id for r in wide.collect()}
+    assert left == {i for i in range(240) if i % 4} - {35, 9, 13, 21, 23}

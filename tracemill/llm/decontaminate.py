@@ -1,13 +1,15 @@
 """Operator 7: benchmark decontamination by SimHash of item-sized windows.
 
-A window of a text has as many words as an item; a text with fewer is one window. Windows and items get a SimHash of their five-word shingles, each as
-often as it stands there. A multi-index takes items within RADIUS of a window's fingerprint: of BLOCKS blocks of bits
-one at least differs in RADIUS // BLOCKS bits or fewer, so each item stands under all such values of each block, and a
-lookup of a window's blocks misses none within the radius. Candidates are verified by exact weighted Jaccard similarity
-of the two multisets.
-
-Windows that share no shingle with any item have similarity 0 and get no fingerprint; a bitmap of the items' shingles
-tells them. The items are a query set: they go to every task in blocks of a bounded size, and all texts meet each block.
+A window of a text has as many words as an item; a text with fewer is one window. Windows and items get a SimHash of BITS
+bits of their five-word shingles, each as often as it stands there. A multi-index takes items within RADIUS of a window's
+fingerprint: of the blocks of 16 bits one at least differs in RADIUS // BLOCKS bits or fewer. Each item stands under all
+values of each block that differ in some of these bits, a lookup tries all that differ in the others; so none within the
+radius is missed, and a lookup meets a small share of the other items. Candidates are verified by exact weighted Jaccard
+similarity of the two multisets.
+
+A window gets a fingerprint only if as many of its shingles as that similarity needs stand in items of its size, whichever
+these are; windows with fewer cannot be similar to any. The items are a query set: they go to every task in blocks of a
+bounded size, and all texts meet each block.
 """
 
 from __future__ import annotations
@@ -25,37 +27,38 @@ from . import words as W
 from .common import documents
 
 K = 5
-#: Fingerprints have 64 bits. At similarity 0.8 two of them differ in about 10, by 3 more or less: the radius is beyond 4 such deviations.
-RADIUS, BLOCKS = 23, 8
+#: Of BITS bits, two multisets of similarity 0.8 differ in about 19, by 4 more or less: the radius is 3 such deviations beyond.
+BITS, BLOCKS, RADIUS = 128, 8, 31
+#: Bits of a block by which an item's own values differ; lookups take the rest of RADIUS // BLOCKS.
+STORED = 1
 #: Items go to the tasks in blocks of about so many bytes of text.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 _BITMAP = 22
+#: Windows that get fingerprints at once.
+_AT_ONCE = 256
 
 
-def _masks(radius: int, bits: int = 8) -> list[int]:
-    return [sum(1 << b for b in c) for n in range(radius + 1) for c in combinations(range(bits), n)]
+def _masks(radius: int, bits: int = BITS // BLOCKS) -> np.ndarray:
+    return np.array([sum(1 << b for b in c) for n in range(radius + 1) for c in combinations(range(bits), n)], np.uint16)
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each shingle's hash."""
-    return np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1).astype(np.int32) * 2 - 1
-
-
-def fingerprints(bits: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The SimHash, as 8 bytes, of the `length` shingles from each start on."""
-    total = np.zeros((len(bits) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    return np.packbits(total[starts + length] - total[starts] > 0, axis=1)
+def fingerprints(s: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The SimHash, as BLOCKS numbers of 16 bits, of the `length` shingles from each start on."""
+    out = np.empty((len(starts), BLOCKS), np.uint16)
+    for a in range(0, len(starts), _AT_ONCE):
+        own = s[starts[a : a + _AT_ONCE, None] + np.arange(length)]
+        raw = np.stack([own, W.mix(own + np.uint64(1))], axis=2).view(np.uint8)
+        ones = np.unpackbits(raw.reshape(*own.shape, BITS // 8), axis=2).sum(axis=1, dtype=np.int32)
+        out[a : a + _AT_ONCE] = np.packbits(2 * ones > length, axis=1).view(np.uint16)
+    return out
 
 
 class Items:
-    """The items of a block: their shingles, and the multi-index of their fingerprints by size."""
+    """The items of a block: their shingles by size, and the multi-index of their fingerprints."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
-        self.ids, self.bags, self.prints, self.sizes = [], [], [], []
-        self.owners: dict[int, set[int]] = {}
-        self.index: dict[tuple[int, int, int], list[int]] = {}
-        masks = _masks(RADIUS // BLOCKS)
+        self.ids, self.bags, prints, sizes = [], [], [], []
+        held: dict[int, set[tuple[int, int]]] = {}
         for item_id, text in rows:
             raw = np.frombuffer((text or "").encode("utf-8"), np.uint8)
             words = W.split(raw, np.array([0, len(raw)]), lower=True, letters=True)
@@ -64,68 +67,97 @@ class Items:
                 continue
             s, whole = W.shingles(W.hashes(words), words.first, min(K, size))
             s = s[whole]
-            i = len(self.ids)
             self.ids.append(item_id)
-            self.sizes.append(size)
+            sizes.append(size)
             self.bags.append(Counter(s.tolist()))
-            self.prints.append(print_ := fingerprints(_bits(s), np.array([0]), len(s))[0])
-            for x in self.bags[i]:
-                self.owners.setdefault(x, set()).add(i)
-            for block in range(BLOCKS):
-                for mask in masks:
-                    self.index.setdefault((size, block, int(print_[block]) ^ mask), []).append(i)
-        #: by the number of words in a shingle: the bitmap of shingles
+            prints.append(fingerprints(s, np.array([0]), len(s))[0])
+            held.setdefault(min(K, size), set()).update((x, size) for x in self.bags[-1])
+        self.prints, self.sizes = np.array(prints, np.uint16).reshape(-1, BLOCKS), np.array(sizes, np.int64)
+        #: by the number of words in a shingle: the bitmap of shingles, and (shingle, size) in rising order
         self.bitmaps: dict[int, np.ndarray] = {}
-        for i, bag in enumerate(self.bags):
-            bitmap = self.bitmaps.setdefault(min(K, self.sizes[i]), np.zeros(1 << _BITMAP, bool))
-            bitmap[np.array(list(bag), np.uint64) >> np.uint64(64 - _BITMAP)] = True
-
-    def near(self, size: int, print_: np.ndarray) -> set[int]:
+        self.shingles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k, own in held.items():
+            keys, size = np.array([x for x, _ in own], np.uint64), np.array([x for _, x in own], np.int64)
+            by = np.lexsort((size, keys))
+            self.shingles[k] = keys[by], size[by]
+            self.bitmaps[k] = np.zeros(1 << _BITMAP, bool)
+            self.bitmaps[k][keys >> np.uint64(64 - _BITMAP)] = True
+        #: by size: block and value in rising order, and the item that stands there
+        self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        near, block = _masks(STORED), np.arange(BLOCKS, dtype=np.int32) << 16
+        for size in set(sizes):
+            own = np.flatnonzero(self.sizes == size).astype(np.int32)
+            keys = (block[None, :, None] | (self.prints[own][:, :, None] ^ near)).reshape(len(own), -1)
+            at = np.argsort(keys, axis=None, kind="stable")
+            self.index[size] = keys.ravel()[at], np.repeat(own, keys.shape[1])[at]
+        self._lookups = _masks(RADIUS // BLOCKS - STORED)
+
+    def near(self, size: int, print_: np.ndarray) -> list[int]:
         """The items of this size whose fingerprint is within the radius."""
-        found = {i for block in range(BLOCKS) for i in self.index.get((size, block, int(print_[block])), ())}
-        return {i for i in found if int(np.bitwise_count(self.prints[i] ^ print_).sum()) <= RADIUS}
-
-    def hits(self, shingles: dict[int, np.ndarray], places: dict[int, np.ndarray], n: int, percent: int) -> list[tuple]:
-        """For a text of n words, its shingles by width and the places of those in the bitmap: (item, start, words, similarity, windows)."""
-        by_size: dict[int, set[int]] = {}
-        longer: set[int] = set()
-        m = n - K + 1
-        for k, at in places.items():
-            s = shingles[k]
-            for p in at.tolist():
-                for i in self.owners.get(int(s[p]), ()):
-                    size = self.sizes[i]
-                    if min(K, size) == k and size <= n:
-                        by_size.setdefault(size, set()).update(range(max(0, p - size + k), min(p, n - size) + 1))
-                    elif size > n and 100 * m >= percent * (size - K + 1):
-                        longer.add(size)
-        best: dict[int, list] = {}
-        if longer:  # the whole text against items with more words
-            s = shingles[K][:m]
-            window, print_ = Counter(s.tolist()), fingerprints(_bits(s), np.array([0]), m)[0]
-            for size in longer:
-                for i in self.near(size, print_):
-                    common = (window & self.bags[i]).total()
-                    union = m + size - K + 1 - common
-                    if 100 * common >= percent * union:
-                        best[i] = [common / union, 0, 1]
-        for size, found in by_size.items():
-            starts = np.array(sorted(found))
-            k = min(K, size)
-            low = int(starts[0])
-            s = shingles[k][low : int(starts[-1]) + size - k + 1]
-            prints = fingerprints(_bits(s), starts - low, size - k + 1)
-            for start, print_ in zip(starts.tolist(), prints, strict=True):
-                for i in self.near(size, print_):
-                    window = Counter(s[start - low : start - low + size - k + 1].tolist())
-                    common = (window & self.bags[i]).total()
-                    union = 2 * (size - k + 1) - common
-                    if 100 * common >= percent * union:
-                        got = best.setdefault(i, [0.0, start, 0])
-                        got[2] += 1
-                        if common / union > got[0]:
-                            got[:2] = common / union, start
-        return [(self.ids[i], start, min(n, self.sizes[i]), similarity, windows) for i, (similarity, start, windows) in sorted(best.items())]
+        keys, items = self.index[size]
+        tried = ((np.arange(BLOCKS, dtype=np.int32) << 16)[:, None] | (print_[:, None] ^ self._lookups)).ravel()
+        low, high = np.searchsorted(keys, tried), np.searchsorted(keys, tried, "right")
+        found = {i for a, b in zip(low[high > low].tolist(), high[high > low].tolist(), strict=True) for i in items[a:b].tolist()}
+        return [i for i in sorted(found) if int(np.bitwise_count(self.prints[i] ^ print_).sum()) <= RADIUS]
+
+    def hits(self, h: np.ndarray, first: np.ndarray, percent: int) -> list[tuple]:
+        """For texts, by their words' hashes and where each begins: (text, item, start, words, similarity, windows)."""
+        best: dict[tuple[int, int], list] = {}
+
+        def test(text: int, size: int, start: int, print_: np.ndarray, own: np.ndarray) -> None:
+            for i in self.near(size, print_):
+                window = Counter(own.tolist())
+                common = (window & self.bags[i]).total()
+                union = len(own) + self.bags[i].total() - common
+                if 100 * common >= percent * union:
+                    got = best.setdefault((text, i), [0.0, start, 0])
+                    got[2] += 1
+                    if common / union > got[0]:
+                        got[:2] = common / union, start
+
+        for k, (keys, sizes) in self.shingles.items():
+            s, whole = W.shingles(h, first, k)
+            at = np.flatnonzero(self.bitmaps[k][s >> np.uint64(64 - _BITMAP)] & whole)
+            low, high = np.searchsorted(keys, s[at]), np.searchsorted(keys, s[at], "right")
+            n = high - low
+            place = np.repeat(at, n)
+            size = sizes[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(place))]
+            by = np.argsort(size, kind="stable")
+            place, size = place[by], size[by]
+            for z, a, b in zip(*(x.tolist() for x in _runs(size)), strict=True):
+                p, m = place[a:b], z - k + 1
+                text = np.searchsorted(first, p, "right") - 1
+                begin, end = first[text], first[text + 1]
+                # the whole text, where it has fewer words than the items
+                for _, c, d in zip(*(x.tolist() for x in _runs(np.where(end - begin < z, text, -1))), strict=True):
+                    own = int(end[c] - begin[c]) - k + 1
+                    if end[c] - begin[c] < z and d - c >= _needed(own, m, percent):
+                        there = s[begin[c] : begin[c] + own]
+                        test(int(text[c]), z, 0, fingerprints(there, np.array([0]), own)[0], there)
+                # windows with enough shingles of items of this size
+                need = _needed(m, m, percent)
+                one, last = p[: len(p) - need + 1], p[need - 1 :]
+                close = np.flatnonzero((last - one < m) & (text[: len(one)] == text[need - 1 :]) & (end - begin >= z)[: len(one)])
+                if not len(close):
+                    continue
+                from_, to = np.maximum(last[close] - m + 1, begin[close]), np.minimum(one[close], end[close] - z) + 1
+                n = np.maximum(to - from_, 0)
+                starts = np.unique(np.repeat(from_ - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+                holder = np.searchsorted(first, starts, "right") - 1
+                for t, start, print_ in zip(holder.tolist(), starts.tolist(), fingerprints(s, starts, m), strict=True):
+                    test(t, z, start - int(first[t]), print_, s[start : start + m])
+        return [(t, self.ids[i], start, int(min(first[t + 1] - first[t], self.sizes[i])), similarity, windows) for (t, i), (similarity, start, windows) in sorted(best.items())]
+
+
+def _needed(one: int, two: int, percent: int) -> int:
+    """How many shingles two multisets of these sizes must have in common."""
+    return max(1, -(-percent * (one + two) // (100 + percent)))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of equal values: value, begin, end."""
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    return x[begin], begin, np.append(begin[1:], len(x))[: len(begin)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
@@ -153,19 +185,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Data
             own: Items = index.value
             for batch, data, offsets in W.steps(batches):
                 words = W.split(data, offsets, lower=True, letters=True)
-                h = W.hashes(words)
-                shingles, places = {}, {}
-                for k, bitmap in own.bitmaps.items():
-                    s, whole = W.shingles(h, words.first, k)
-                    shingles[k] = s
-                    places[k] = np.flatnonzero(bitmap[s >> np.uint64(64 - _BITMAP)] & whole)
-                text = words.texts()
-                found = []
-                for t in np.unique(np.concatenate([np.empty(0, np.int64), *(text[p] for p in places.values())])):
-                    a, b = words.first[t], words.first[t + 1]
-                    mine = {k: p[np.searchsorted(p, a) : np.searchsorted(p, b)] - a for k, p in places.items()}
-                    for hit in own.hits({k: s[a:b] for k, s in shingles.items()}, mine, int(b - a), percent):
-                        found.append((batch.column("sig")[t].as_py(), batch.column("doc_id")[t].as_py(), *hit))
+                sig, doc_id = batch.column("sig"), batch.column("doc_id")
+                found = [(sig[t].as_py(), doc_id[t].as_py(), *hit) for t, *hit in own.hits(W.hashes(words), words.first, percent)]
                 kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["sig", "doc_id", "item_id", "first_word", "n_words", "similarity", "n_windows"])
 
