@@ -147,3 +147,19 @@ def test_stems(spark):
     assert rows(T.source_stems(stems)) == [(1, "b.v", 10, 1, True), (2, "a.v", 5, 2, True), (3, "b.v", 12, 1, False)]
     attrs = spark.createDataFrame([(0, 0, 3, "b.v", 1, None), (1, 0, 4, "", 10, 1)], "ord long, type_code int, subtype_code int, name string, arg long, arg_from_name long")
     assert rows(T.resolve_stems(attrs)) == [(1, "b.v", 10)]
+
+
+def test_null_real_and_null_handle(spark):
+    rows = spark.createDataFrame([(1, None), (None, 0.5), (2, float("nan"))], "handle int, x double")
+    assert {r[0] for r in rows.select(text.real_text(F.col("x"))).collect()} == {None, "0.5", "nan"}
+    handles = spark.createDataFrame([(1,), (None,)], "handle int")
+    many = handles.unionByName(spark.range(10, 2000).select(F.col("id").cast("int").alias("handle")))
+    for h in (handles, many):
+        assert [r.handle for r in T.selected(rows, h).collect()] == [1]
+        assert {r.handle for r in T.selected(rows, h, keep=False).collect()} == {None, 2}
+
+
+def test_frames_carry_values_on(spark):
+    c = spark.createDataFrame([(0, 1, 0, "a"), (5, 2, 1, "b"), (12, 1, 2, "c"), (35, 3, 3, "d")], "time long, handle int, seq long, value string")
+    got = {(r.block, r.handle): r.value for r in T.frames(c, F.floor(F.col("time") / 10)).collect()}
+    assert got == {(0, 1): "a", (0, 2): "b", (1, 1): "c", (1, 2): "b", (3, 1): "c", (3, 2): "b", (3, 3): "d"}

@@ -1,6 +1,7 @@
 """Round trips of trace files, with pruning, aliases, reals, texts and several blocks; FastLZ by hand-made data."""
 
 import gzip
+import re
 import struct
 
 import pytest
@@ -94,6 +95,58 @@ def test_clip_to_file(spark, tmp_path):
     assert at == {1: want[2], 2: want[3]}
 
 
+def _records(hier):
+    """kind, name, path and depth of the records in order, as a reader sees them."""
+    return [(r.kind, r.name, r.path, r.depth) for r in hier.orderBy("ord").collect()]
+
+
+def test_clip_hierarchy(spark, tmp_path):
+    """Nested, sibling, repeated and empty scopes, with and without a filter, after a round trip."""
+    var = lambda name, handle, alias=False: VAR | {"kind": "var", "type_code": 16, "direction_code": 0, "name": name, "length": 1, "handle": handle, "is_alias": alias}
+    scope = lambda name: {"kind": "scope", "type_code": 0, "name": name, "component": ""}
+    attr, end, up = {"kind": "attr", "type_code": 0, "subtype_code": 0, "name": "note", "arg": 1}, {"kind": "attr_end"}, {"kind": "upscope"}
+    hier = [
+        var("a0", 1), scope("top"), attr, scope("u0"), var("b", 2), end, up, scope("empty"), up, scope("u0"), var("a1", 3), scope("deep"), scope("er"), var("a2", 3, True), up, var("c", 4), up, up,
+        var("a3", 5), scope("u1"), var("d", 6), up, up, scope("top"), var("e", 7), up, scope("top"), var("a4", 8), up, var("a5", 1, True),
+    ]
+    path, out = str(tmp_path / "t.trace"), str(tmp_path / "c.trace")
+    with open(path, "wb") as f:
+        f.writelines(B.file_bytes({"start_time": 0}, hier, [(t, h, b"01"[(t * h) % 2 :][:1]) for t in range(9) for h in range(1, 9)]))
+    trace = read_trace(spark, path)
+    for signals, attributes, count in ((None, True, 10), (None, False, 10), ("^a", True, 6), ("^a", False, 6), ("^[be]$", True, 2)):
+        part = trace.clip(2, 7, signals, attributes)
+        write_trace(part, out)
+        again = read_trace(spark, out)
+        # brute force, record by record
+        want, stack, left = [], [], []
+        for r in hier:
+            if r["kind"] == "scope":
+                left.append([r["name"], False])
+            elif r["kind"] == "upscope":
+                if left.pop()[1] or signals is None:
+                    want.append(("upscope", None, ".".join(stack), len(stack)))
+                    stack.pop()
+            elif r["kind"] == "var" and (signals is None or re.search(signals, r["name"])):
+                for s in left:
+                    if not s[1]:
+                        s[1] = True
+                        want.append(("scope", s[0], ".".join([*stack, s[0]]), len(stack)))
+                        stack.append(s[0])
+                want.append(("var", r["name"], ".".join([*stack, r["name"]]), len(stack)))
+            elif r["kind"] in ("attr", "attr_end") and attributes:
+                want.append((r["kind"], r.get("name"), ".".join(stack), len(stack)))
+            if r["kind"] == "scope" and signals is None:
+                left[-1][1] = True
+                want.append(("scope", r["name"], ".".join([*stack, r["name"]]), len(stack)))
+                stack.append(r["name"])
+        assert _records(again.hier) == want
+        m, p = again.metadata.first(), part.metadata.first()
+        kinds = [k for k, *_ in want]
+        assert m.num_scopes == p.num_scopes == kinds.count("scope") and m.num_vars == p.num_vars == kinds.count("var") == count
+        assert (m.num_aliases, m.max_handle) == (p.num_aliases, p.max_handle) == (count - p.max_handle, part.vars.select("handle").distinct().count())
+        assert [r.alias_of for r in T.variables(again.vars).where("name = 'a5'").collect()] == (["a0"] if count > 2 else [])
+
+
 def test_broken(tmp_path):
     path = tmp_path / "t"
     for raw in (b"", b"nothing", bytes([B.WRAPPER]) + bytes(16)):

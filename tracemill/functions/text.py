@@ -46,9 +46,13 @@ def unescape_text(text: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def real_text(value: pd.Series) -> pd.Series:
-    """C's %.16g."""
-    return value.map(lambda x: None if x is None else f"{x:.16g}")
+def _real_text(value: pd.Series) -> pd.Series:
+    return value.map(lambda x: f"{x:.16g}")
+
+
+def real_text(value: Column) -> Column:
+    """C's %.16g; null for null."""
+    return F.when(value.isNotNull(), _real_text(value))
 
 
 def vcd_id(handle: Column) -> Column:

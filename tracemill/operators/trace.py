@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, labels, text
 
-#: A catalogue side of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: A side that the planner knows to have at most so many bytes, or that has so few rows, is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES, BROADCAST_ROWS = 8_000_000, 200_000
 #: Up to so many handles a selection is a list in the filter, which reaches the scan.
 LISTED_HANDLES = 1000
 
@@ -24,9 +24,10 @@ class TraceError(ValueError):
     """A request that the trace cannot answer."""
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is small: by the planner's bound, which costs nothing, or else by counting so many rows at most."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if known <= BROADCAST_BYTES or df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 # catalogue
@@ -70,11 +71,12 @@ def assign_handles(vars_: DataFrame) -> DataFrame:
 
 
 def selected(changes: DataFrame, handles: DataFrame, keep: bool = True) -> DataFrame:
-    """The changes of (or not of) the handles; a short list becomes a filter that reaches the scan."""
-    got = [r.handle for r in handles.select("handle").distinct().limit(LISTED_HANDLES + 1).collect()]
+    """The changes of (or not of) the handles; a short list becomes a filter that reaches the scan. A null handle is none of them."""
+    handles = handles.select("handle").where("handle is not null").distinct()
+    got = [r.handle for r in handles.limit(LISTED_HANDLES + 1).collect()]
     if len(got) <= LISTED_HANDLES:
-        return changes.where(F.col("handle").isin(got) if keep else ~F.col("handle").isin(got))
-    return changes.join(handles.select("handle").distinct(), "handle", "left_semi" if keep else "left_anti")
+        return changes.where(F.col("handle").isin(got) if keep else F.coalesce(~F.col("handle").isin(got), F.lit(True)))
+    return changes.join(handles, "handle", "left_semi" if keep else "left_anti")
 
 
 # search
@@ -94,7 +96,7 @@ def find(changes: DataFrame, vars_: DataFrame, wanted: str, hexadecimal: bool =
     if not all_matches:
         # folded before the names are joined: a row a handle moves
         hits = hits.groupBy("handle").agg(F.min_by(F.struct("time", "seq", "value"), F.struct("time", "seq")).alias("x")).select("handle", "x.*")
-    return hits.join(small(names), "handle").select("time", "handle", "seq", "name", "value")
+    return hits.join(names, "handle").select("time", "handle", "seq", "name", "value")
 
 
 def hit_lines(hits: DataFrame, names_only: bool = False) -> DataFrame:
@@ -119,8 +121,18 @@ def values_at(changes: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def frames(changes: DataFrame, block: Column) -> DataFrame:
-    """block, handle, value: the last value of each handle in each block."""
-    return changes.withColumn("block", block).groupBy("block", "handle").agg(F.max_by("value", F.struct("time", "seq")).alias("value"))
+    """block, handle, value: the value of each handle at the end of each block of which there are changes, carried on from earlier blocks.
+
+    Changes fold to a row for each block and handle before they move; a value holds up to the next block in which its
+    handle changes. Blocks are numbered in order, and as many rows as blocks are broadcast if that is few.
+    """
+    last = changes.withColumn("block", block).groupBy("block", "handle").agg(F.max_by("value", F.struct("time", "seq")).alias("value"))
+    blocks = last.select("block").distinct().withColumn("number", F.row_number().over(Window.orderBy("block")))
+    known = blocks.agg(F.count("*").cast("int").alias("blocks"), F.lit(1).alias("one"))
+    held = last.join(blocks, "block").withColumn("next", F.lead("number").over(Window.partitionBy("handle").orderBy("number")))
+    held = held.withColumn("one", F.lit(1)).join(F.broadcast(known), "one")  # one row
+    held = held.select("handle", "value", F.explode(F.sequence("number", F.coalesce(F.col("next") - 1, F.col("blocks")))).alias("number"))
+    return held.join(blocks, "number").select("block", "handle", "value")
 
 
 def blackout_intervals(blackouts: DataFrame) -> DataFrame:
@@ -174,6 +186,52 @@ def prune_scopes(scopes_: DataFrame, kept: DataFrame) -> DataFrame:
     return scopes_.join(inside, "path", "left_semi")
 
 
+def clip_hierarchy(hier: DataFrame, pattern: str | None = None, attributes: bool = True) -> DataFrame:
+    """The records of a clipped trace, in order: variables whose own name matches, with new handles, and what belongs to them.
+
+    Without a pattern all records stay. With one, a scope stays if a kept variable is inside, and opens just before the first
+    of these; its end stays with it, also where a path is opened several times. Attributes and their ends stay where they
+    are, or go all.
+    """
+    vars_ = clip_variables(hier.where("kind = 'var'"), pattern).select(hier.columns)
+    others = hier.where("kind in ('attr', 'attr_end')") if attributes else hier.limit(0)
+    scopes_, ends = hier.where("kind = 'scope'"), hier.where("kind = 'upscope'")
+    if pattern is None:
+        return vars_.unionByName(others).unionByName(scopes_).unionByName(ends)
+    opened = scopes_.select(F.col("path").alias("at"), "ord", F.col("ord").alias("opened"))
+    none = F.lit(None).cast("long").alias("opened")
+
+    def innermost(rows: DataFrame) -> DataFrame:
+        """rows (at, ord) with the scope of this path that was opened last before."""
+        both = opened.withColumn("own", F.lit(False)).unionByName(rows.select("at", "ord", none).withColumn("own", F.lit(True)))
+        upto = Window.partitionBy("at").orderBy("ord", "own").rowsBetween(Window.unboundedPreceding, 0)
+        return both.withColumn("opened", F.last("opened", ignorenulls=True).over(upto)).where("own and opened is not null").drop("own")
+
+    # each scope that holds kept variables itself, by its first one; then all scopes around these
+    held = vars_.select(F.expr("left(path, length(path) - length(name) - 1)").alias("at"), "ord")
+    held = innermost(held).groupBy("at", "opened").agg(F.min("ord").alias("ord"))
+    parts = F.split("at", r"\.")
+    around = held.select("ord", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("at"))
+    first = innermost(around).groupBy("opened").agg(F.min("ord").alias("first"))
+    kept_ends = innermost(ends.select(F.col("path").alias("at"), "ord")).join(first, "opened").select("ord")
+    key = lambda place, rank: F.struct(place.alias("place"), F.lit(rank).alias("rank"), F.col("ord").alias("ord")).alias("key")
+    here = [c for c in hier.columns if c != "ord"]
+    rows = scopes_.join(first, scopes_["ord"] == first["opened"]).select(*here, key(F.col("first"), 0))
+    for df in (vars_, others, ends.join(kept_ends, "ord", "left_semi")):
+        rows = rows.unionByName(df.select(*here, key(F.col("ord"), 1)))
+    return rows.withColumn("ord", (F.row_number().over(Window.orderBy("key")) - 1).cast("long")).select(hier.columns)
+
+
+def recounted(meta: DataFrame, hier: DataFrame) -> DataFrame:
+    """meta with the counts of these records."""
+    counts = hier.agg(
+        F.count_if(F.col("kind") == "scope").alias("num_scopes"), F.count_if(F.col("kind") == "var").alias("num_vars"), F.count_if((F.col("kind") == "var") & F.col("is_alias")).alias("num_aliases"),
+        F.count_if((F.col("kind") == "var") & ~F.col("is_alias")).alias("max_handle"), F.lit(1).alias("one"),
+    )
+    own = ["num_scopes", "num_vars", "num_aliases", "max_handle"]
+    return meta.drop(*own).withColumn("one", F.lit(1)).join(F.broadcast(counts), "one").select(meta.columns)  # one row each
+
+
 # export
 
 
@@ -280,10 +338,6 @@ class Trace:
         start, end = check_range(start, end, *self.bounds())
         handles = clip_handles(self.vars, signals)
         kept = clip(selected(self.changes, handles), start, end).join(small(handles), "handle").withColumn("handle", F.col("new_handle")).drop("new_handle")
-        vars_ = clip_variables(self.vars, signals).select(self.hier.columns)
-        scopes_ = self.hier.where("kind = 'scope'")
-        if signals is not None:
-            scopes_ = prune_scopes(scopes_.withColumn("path", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "name")), vars_).select(self.hier.columns)
-        rest = self.hier.where("kind = 'attr'") if attributes and signals is None else self.hier.limit(0)
+        hier = clip_hierarchy(self.hier, signals, attributes)
         meta = self.metadata.withColumn("timezero", F.lit(start).cast("long")).withColumn("start_time", F.lit(0).cast("long")).withColumn("end_time", F.lit(end - start).cast("long"))
-        return Trace(meta, vars_.unionByName(scopes_).unionByName(rest), kept, self.blackouts.limit(0))
+        return Trace(recounted(meta, hier), hier, kept, self.blackouts.limit(0))

@@ -110,7 +110,7 @@ def value_at_batch(s, d):
     return T.values_at(c, points.join(c.select("handle").distinct(), "handle", "left_semi"))
 
 
-query("frame", with_("shipments") + f"SELECT time // {90 * DAY} AS block, handle, arg_max(value, (time, seq)) AS value FROM shipments GROUP BY ALL")(lambda s, d: T.frames(t.shipments(s, d), F.floor(F.col("time") / (90 * DAY))))
+query("frame", with_("shipments") + f", b AS (SELECT DISTINCT time // {90 * DAY} AS block FROM shipments) SELECT block, handle, arg_max(value, (time, seq)) AS value FROM b JOIN shipments ON time // {90 * DAY} <= block GROUP BY ALL")(lambda s, d: T.frames(t.shipments(s, d), F.floor(F.col("time") / (90 * DAY))))
 
 # clipping
 

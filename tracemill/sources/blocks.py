@@ -207,7 +207,7 @@ class File:
 
 
 def hierarchy_rows(raw: bytes) -> Iterator[dict]:
-    """The records of a hierarchy in order, with the path of the scopes around them. A surplus end of scope does nothing."""
+    """The records of a hierarchy in order. path is that of a scope or variable itself, and of the scopes around other records. A surplus end of scope does nothing."""
     at, handle, stack, ord_ = 0, 0, [], 0
 
     def name() -> str:
@@ -230,6 +230,7 @@ def hierarchy_rows(raw: bytes) -> Iterator[dict]:
             at += 1
             row["name"], row["component"] = name(), name()
             stack.append(row["name"])
+            row["path"] = ".".join(stack)
         elif tag == UPSCOPE:
             row["kind"] = "upscope"
             if stack:
