@@ -95,6 +95,36 @@ def test_clip_to_file(spark, tmp_path):
     assert at == {1: want[2], 2: want[3]}
 
 
+def test_writer_of_many_blocks(spark, tmp_path):
+    """Blocks that tasks build equal the trace, each with the state before it, also for values without raw bytes."""
+    path, out = str(tmp_path / "t.trace"), str(tmp_path / "c.trace")
+    with open(path, "wb") as f:
+        f.writelines(B.file_bytes({"start_time": 0}, _hier(), _changes(), [(3, False), (9, True)], "4", 10_000))
+    trace = read_trace(spark, path)
+    write_trace(trace, out, block_changes=100)
+    with open(out, "rb") as f:
+        file = B.File(f)
+        assert len(file.values) > 8
+        state = {}
+        for i, b in enumerate(file.values):
+            got = list(B.block_changes(file, i, None, True))
+            shown = {r[1]: r[4] for r in got if r[7]}
+            assert all(shown[h] == state.get(h, struct.pack("<d", float("nan")) if h == 3 else b"x" * len(shown[h])) for h in shown)
+            state |= {r[1]: r[4] for r in got if not r[7]}
+            assert b.begin <= b.end
+    again = read_trace(spark, out)
+    columns = ["time", "handle", "value", "raw", "real_value", "var_len"]
+    rows = lambda t: sorted(map(str, t.changes.select(columns).collect()))
+    assert rows(again) == rows(trace) and again.blackouts.collect() == trace.blackouts.collect() and _records(again.hier) == _records(trace.hier)
+    plain = T.Trace(trace.metadata, trace.hier, trace.changes.where("handle <> 3").withColumn("value", F.coalesce("value", F.col("raw").cast("string"))).drop("raw"), trace.blackouts)
+    write_trace(plain, out)
+    assert sorted(map(str, read_trace(spark, out).changes.select(columns).collect())) == sorted(map(str, trace.changes.where("handle <> 3").select(columns).collect()))
+    with pytest.raises(T.TraceError):
+        write_trace(T.Trace(trace.metadata, trace.hier, trace.changes.withColumn("handle", F.lit(99)), trace.blackouts), out)
+    write_trace(T.Trace(trace.metadata, trace.hier, trace.changes.limit(0), trace.blackouts), out)
+    assert read_trace(spark, out).changes.count() == 0
+
+
 def _records(hier):
     """kind, name, path and depth of the records in order, as a reader sees them."""
     return [(r.kind, r.name, r.path, r.depth) for r in hier.orderBy("ord").collect()]

@@ -131,7 +131,7 @@ class File:
     """What a file states about itself: header, widths, blocks of values, blackouts, hierarchy. Blocks that are being written end it."""
 
     def __init__(self, f: BinaryIO):
-        self.f, self.values, self.widths, self.blackouts, self.hierarchy, self.head = f, [], None, [], None, None
+        self.f, self.values, self.widths, self.blackouts, self.hierarchy, self.head, self.geometry = f, [], None, [], None, None, None
         at = 0
         while True:
             f.seek(at)
@@ -153,13 +153,8 @@ class File:
             elif tag in (VALUES, VALUES_ALIAS, VALUES_ALIAS2):
                 self.values.append(Block(tag, at, length, *struct.unpack(">QQ", f.read(16))))
             elif tag == GEOMETRY:
-                size, count = struct.unpack(">QQ", f.read(16))
-                raw = f.read(length - 24)
-                raw = raw if len(raw) == size else zlib.decompress(raw)
-                self.widths, p = [], 0
-                for _ in range(count):
-                    w, p = varint(raw, p)
-                    self.widths.append(w)
+                self.geometry = at + 9, length - 8
+                self.widths = widths(f.read(length - 8))
             elif tag == BLACKOUT:
                 raw = f.read(length - 8)
                 n, p = varint(raw, 0)
@@ -206,6 +201,26 @@ class File:
         }
 
 
+def widths(body: bytes) -> list[int]:
+    """The body of a geometry block: the width of each handle."""
+    size, count = struct.unpack(">QQ", body[:16])
+    raw = body[16:]
+    raw, out, at = raw if len(raw) == size else zlib.decompress(raw), [], 0
+    for _ in range(count):
+        w, at = varint(raw, at)
+        out.append(w)
+    return out
+
+
+class Part(NamedTuple):
+    """What block_changes needs of a file."""
+
+    f: BinaryIO
+    values: dict[int, Block] | list[Block]
+    widths: list[int]
+    head: dict
+
+
 def hierarchy_rows(raw: bytes) -> Iterator[dict]:
     """The records of a hierarchy in order. path is that of a scope or variable itself, and of the scopes around other records. A surplus end of scope does nothing."""
     at, handle, stack, ord_ = 0, 0, [], 0
@@ -288,14 +303,14 @@ def _chains(tag: int, index: bytes, end: int) -> dict[int, tuple[int, int]]:
                 handle += 1
             else:
                 handle += n >> 1
-    out = {h: (starts[h], (starts[nxt] if nxt else end) - starts[h]) for h, nxt in zip(order, [*order[1:], None], strict=True)}
+    out = {h: (starts[h], (starts[nxt] if nxt else end) - starts[h]) for h, nxt in zip(order, [*order[1:], None][: len(order)], strict=True)}
     for h, a in sorted(alias.items()):
         if a in out and a < h:
             out[h] = out[a]
     return out
 
 
-def block_changes(file: File, number: int, wanted: set[int] | None = None, frame: bool | None = False) -> Iterator[tuple]:
+def block_changes(file: File | Part, number: int, wanted: set[int] | None = None, frame: bool | None = False) -> Iterator[tuple]:
     """(time, handle, seq, value, raw, real_value, var_len, is_initial, block) of one block of values.
 
     frame: whether its frame comes first; None: if the block begins before its first change. seq orders a handle's changes.
@@ -366,7 +381,7 @@ def block_changes(file: File, number: int, wanted: set[int] | None = None, frame
             seq += 1
 
 
-def _value(file: File, width: int, raw: bytes) -> tuple[str, bytes, float | None]:
+def _value(file: File | Part, width: int, raw: bytes) -> tuple[str, bytes, float | None]:
     if width == 0:
         real = struct.unpack("<d" if file.head["endian_match"] else ">d", raw)[0]
         return f"{real:.16g}", raw, real
@@ -460,11 +475,43 @@ def value_block(begin: int, end: int, changes: list[tuple[int, int, bytes]], fra
     return _block(VALUES_ALIAS2, body)
 
 
+def widths_of(hierarchy: list[dict]) -> list[int]:
+    return [0 if r["type_code"] in REALS else TEXT_LENGTH if r["type_code"] == 21 else r["length"] for r in hierarchy if r["kind"] == "var" and not r["is_alias"]]
+
+
+def first_frame(widths_: list[int]) -> list[bytes]:
+    """The state before all changes."""
+    return [struct.pack("<d", float("nan")) if w == 0 else b"" if w == TEXT_LENGTH else b"x" * w for w in widths_]
+
+
+def header_block(meta: dict, hierarchy: list[dict], start: int, end: int, blocks: int) -> bytes:
+    count, handles = (sum(r["kind"] == "var" and not (own and r["is_alias"]) for r in hierarchy) for own in (False, True))
+    text = lambda s, n: (s or "").encode("utf-8")[: n - 1].ljust(n, b"\0")
+    head = struct.pack(">QQ", start, end) + struct.pack("<d", _ENDIAN) + struct.pack(">5Q", 0, sum(r["kind"] == "scope" for r in hierarchy), count, handles, blocks)
+    head += struct.pack("b", meta.get("timescale_exp", -9)) + text(meta.get("version", "tracemill"), _VERSION) + text(meta.get("date"), _DATE) + bytes([meta.get("file_type", 0)]) + struct.pack(">q", meta.get("timezero", 0))
+    return _block(HEADER, head)
+
+
+def last_blocks(hierarchy: list[dict], blackouts: Iterable[tuple[int, bool]], kind: str) -> Iterator[bytes]:
+    """What stands after the values: widths, blackouts, hierarchy."""
+    own = widths_of(hierarchy)
+    geometry = b"".join(map(put_varint, own))
+    small = zlib.compress(geometry, 9)
+    yield _block(GEOMETRY, struct.pack(">QQ", len(geometry), len(own)) + (small if len(small) < len(geometry) else geometry))
+    toggles, last, n = bytearray(), 0, 0
+    for t, active in blackouts:
+        toggles += bytes([active]) + put_varint(t - last)
+        last, n = t, n + 1
+    if n:
+        yield _block(BLACKOUT, put_varint(n) + bytes(toggles))
+    raw = hierarchy_bytes(hierarchy)
+    yield _block(HIERARCHY, struct.pack(">Q", len(raw)) + gzip.compress(raw, mtime=0)) if kind != "4" else _block(HIERARCHY_LZ4, struct.pack(">Q", len(raw)) + pack("4", raw))
+
+
 def file_bytes(meta: dict, hierarchy: list[dict], changes: Iterable[tuple[int, int, bytes]], blackouts: Iterable[tuple[int, bool]] = (), kind: str = "4", block_changes_: int = 1_000_000) -> Iterator[bytes]:
-    """A whole file, block by block: meta as of File.head, records, changes in the order of time, toggles. Times may not fall."""
-    own = [r for r in hierarchy if r["kind"] == "var" and not r["is_alias"]]
-    widths = [0 if r["type_code"] in REALS else TEXT_LENGTH if r["type_code"] == 21 else r["length"] for r in own]
-    frame = [struct.pack("<d", float("nan")) if w == 0 else b"" if w == TEXT_LENGTH else b"x" * w for w in widths]
+    """A whole file for a trace that fits in memory: meta as of File.head, records, changes in the order of time, toggles. Times may not fall."""
+    own = widths_of(hierarchy)
+    frame = first_frame(own)
     blocks, held, begin, now = [], [], meta.get("start_time"), None
     for t, h, value in changes:
         if now is not None and t < now:
@@ -472,30 +519,15 @@ def file_bytes(meta: dict, hierarchy: list[dict], changes: Iterable[tuple[int, i
         if begin is None:
             begin = t
         if len(held) >= block_changes_ and t != now:
-            blocks.append(value_block(begin, now, held, frame, widths, kind))
+            blocks.append(value_block(begin, now, held, frame, own, kind))
             for _, x, v in held:
-                frame[x - 1] = v if widths[x - 1] != TEXT_LENGTH else b""
+                frame[x - 1] = v if own[x - 1] != TEXT_LENGTH else b""
             begin, held = now, []
         held.append((t, h, value))
         now = t
     end = max(meta.get("end_time") or 0, now or 0, begin or 0)
     start = meta["start_time"] if meta.get("start_time") is not None else begin or 0
-    blocks.append(value_block(begin or 0, end, held, frame, widths, kind))
-    count = sum(r["kind"] == "var" for r in hierarchy)
-    text = lambda s, n: (s or "").encode("utf-8")[: n - 1].ljust(n, b"\0")
-    head = struct.pack("<d", _ENDIAN)
-    head = struct.pack(">QQ", start, end) + head + struct.pack(">5Q", 0, sum(r["kind"] == "scope" for r in hierarchy), count, len(widths), len(blocks))
-    head += struct.pack("b", meta.get("timescale_exp", -9)) + text(meta.get("version", "tracemill"), _VERSION) + text(meta.get("date"), _DATE) + bytes([meta.get("file_type", 0)]) + struct.pack(">q", meta.get("timezero", 0))
-    yield _block(HEADER, head)
+    blocks.append(value_block(begin or 0, end, held, frame, own, kind))
+    yield header_block(meta, hierarchy, start, end, len(blocks))
     yield from blocks
-    geometry = b"".join(map(put_varint, widths))
-    small = zlib.compress(geometry, 9)
-    yield _block(GEOMETRY, struct.pack(">QQ", len(geometry), len(widths)) + (small if len(small) < len(geometry) else geometry))
-    toggles, last, n = bytearray(), 0, 0
-    for t, active in blackouts:
-        toggles += bytes([active]) + put_varint(t - last)
-        last, n = t, n + 1
-    if n:
-        yield _block(BLACKOUT, put_varint(n) + bytes(toggles))
-    raw = hierarchy_bytes(hierarchy)
-    yield _block(HIERARCHY, struct.pack(">Q", len(raw)) + gzip.compress(raw, mtime=0)) if kind != "4" else _block(HIERARCHY_LZ4, struct.pack(">Q", len(raw)) + pack("4", raw))
+    yield from last_blocks(hierarchy, blackouts, kind)

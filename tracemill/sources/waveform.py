@@ -1,9 +1,10 @@
 """Trace files as a Spark data source: spark.read.format("waveform").option("table", ...).load(path).
 
-table is one of metadata, hier, changes, blackouts. changes has a partition for each block of values; filters on time and
-handle prune blocks and chains (with spark.sql.python.filterPushdown.enabled and option pushdown). Options signals (a regular expression on
-paths), start and end restrict the scan; a skipped block before start makes the first one read show its frame. Paths are
-ones that all executors can open.
+table is one of metadata, hier, changes, blackouts. changes has a partition for each block of values, which carries the
+block's place. Options signals (a regular expression on paths), start and end restrict the scan and prune blocks and
+chains; a skipped block before start makes the first one read show its frame. Filters on time and handle prune as well with
+option pushdown. A file in a gzip wrapper can only be read from its beginning, so all its blocks are one partition. Paths
+are ones that all executors can open.
 """
 
 from __future__ import annotations
@@ -11,12 +12,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from ..operators.trace import Trace
+from ..operators.trace import Trace, TraceError
 from . import blocks as B
+from .scratch import shared_dir
 
 SCHEMAS = {
     "metadata": "date string, version string, file_type int, timescale_exp int, timezero long, start_time long, end_time long, num_scopes long, num_vars long, num_aliases long, max_handle long, vc_sections long, writer_mem long, endian_match boolean",
@@ -30,9 +37,15 @@ def open_file(path: str) -> B.File:
     return B.File(open(path.removeprefix("file:"), "rb"))  # noqa: SIM115  the file stays open while its blocks are read
 
 
-class _Block(InputPartition):
-    def __init__(self, number: int, frame: bool | None, wanted: set[int] | None):
-        self.number, self.frame, self.wanted = number, frame, wanted
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+_BATCH_ROWS = 8192
+
+
+class _Blocks(InputPartition):
+    """Blocks by number, each with whether its frame comes first; where: what a task needs to read them without the rest of the file."""
+
+    def __init__(self, blocks: list[tuple[int, bool | None, B.Block]], wanted: set[int] | None, where: tuple | None):
+        self.blocks, self.wanted, self.where = blocks, wanted, where
 
 
 class _Reader(DataSourceReader):
@@ -43,8 +56,9 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.table != "changes":
-            return [_Block(0, False, None)]
+            return [_Blocks([], None, None)]
         file = open_file(self.path)
+        file.f.close()
         wanted = self.handles
         if self.signals is not None:
             found = {r["handle"] for r in B.hierarchy_rows(file.hierarchy) if r["kind"] == "var" and re.search(self.signals, r["path"])}
@@ -59,21 +73,43 @@ class _Reader(DataSourceReader):
             frame = (True if skipped else None) if first else False
             first = False
             if (self.low is None or b.end >= self.low) and (self.high is None or b.begin <= self.high):
-                out.append(_Block(i, frame, wanted))
-        return out
+                out.append((i, frame, b))
+        if file.wrapped:
+            return [_Blocks(out, wanted, None)] if out else []
+        where = (file.geometry, file.head["endian_match"]) if file.geometry else None
+        return [_Blocks([x], wanted, where) for x in out]
 
-    def read(self, partition: _Block) -> Iterator[tuple]:
-        file = open_file(self.path)
+    def _rows(self, partition: _Blocks) -> Iterator[tuple]:
         names = [x.split()[0] for x in SCHEMAS[self.table].split(", ")]
+        if self.table == "changes":
+            if partition.where is not None:
+                (at, length), match = partition.where
+                f = open(self.path.removeprefix("file:"), "rb")  # noqa: SIM115
+                f.seek(at)
+                file: B.File | B.Part = B.Part(f, {i: b for i, _, b in partition.blocks}, B.widths(f.read(length)), {"endian_match": match})
+            else:
+                file = open_file(self.path)
+            try:
+                for number, frame, _ in partition.blocks:
+                    yield from B.block_changes(file, number, partition.wanted, frame)
+            finally:
+                file.f.close()
+            return
+        file = open_file(self.path)
+        file.f.close()
         if self.table == "metadata":
             yield tuple(file.head[n] for n in names)
         elif self.table == "hier":
             for row in B.hierarchy_rows(file.hierarchy):
                 yield tuple(row[n] for n in names)
-        elif self.table == "blackouts":
-            yield from file.blackouts
         else:
-            yield from B.block_changes(file, partition.number, partition.wanted, partition.frame)
+            yield from file.blackouts
+
+    def read(self, partition: _Blocks) -> Iterator[pa.RecordBatch]:
+        fields = [x.split() for x in SCHEMAS[self.table].split(", ")]
+        rows = self._rows(partition)
+        while some := list(islice(rows, _BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*some, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
 class _PruningReader(_Reader):
@@ -107,28 +143,88 @@ class WaveformSource(DataSource):
 
 
 def read_trace(spark: SparkSession, path: str, **options: str) -> Trace:
-    """The four tables of a file; options (signals, start, end) restrict the changes."""
+    """The four tables of a file; options (signals, start, end) restrict the changes, and prune blocks and chains.
+
+    Filters prune too where the session has spark.sql.python.filterPushdown.enabled. It is off unless set: Spark keeps what
+    one query pushed for the next one of the same DataFrame, so each query then needs a trace read for itself.
+    """
     spark.dataSource.register(WaveformSource)
     push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     load = lambda t, **o: spark.read.format("waveform").options(table=t, pushdown=push, **o).load(path)
     return Trace(load("metadata"), load("hier"), load("changes", **options), load("blackouts"))
 
 
+_BUILT = "block int, content binary"
+
+
+def _built(widths: list[int], spans: dict[int, tuple[int, int]], kind: str):
+    """The changes of a block, and the state before it -> the block's bytes."""
+
+    def run(changes: pa.Table, state: pa.Table) -> pa.Table:
+        number = changes["block"][0].as_py() if len(changes) else state["at"][0].as_py()
+        if number not in spans:
+            return pa.table({"block": pa.array([], pa.int32()), "content": pa.array([], pa.binary())})
+        own = changes.sort_by([("time", "ascending"), ("handle", "ascending"), ("seq", "ascending")])
+        frame = B.first_frame(widths)
+        for h, v in zip(state["holder"].to_pylist(), state["held"].to_pylist(), strict=True):
+            frame[h - 1] = v if widths[h - 1] != B.TEXT_LENGTH else b""
+        rows = list(zip(*(own[c].to_pylist() for c in ("time", "handle", "value")), strict=True))
+        return pa.table({"block": pa.array([number], pa.int32()), "content": pa.array([B.value_block(*spans[number], rows, frame, widths, kind)], pa.binary())})
+
+    return run
+
+
 def write_trace(trace: Trace, path: str, kind: str = "4", block_changes: int = 1_000_000) -> None:
-    """One file of a trace: one task's work, as its times are one order; changes stream to it in that order.
+    """One file of a trace: a task builds each block of about so many changes, the driver puts them one after the other.
 
-    kind: 4 (LZ4) or Z (zlib). Values come from raw where it is not null, else from value. Strings keep their bytes.
+    kind: 4 (LZ4) or Z (zlib). Values come from raw where it is not null, else from value, in UTF-8. Blocks are ranges of
+    time, so all changes of one time are in one block. The catalogue goes through the driver, which also keeps a pair of
+    times for each block.
     """
+    spark = trace.changes.sparkSession
     meta = trace.metadata.first().asDict()
     rows = [r.asDict() for r in trace.hier.orderBy("ord").collect()]
     toggles = [(r.time, r.active) for r in trace.blackouts.orderBy("idx").collect()]
-    own = trace.changes.orderBy("time", "handle", "seq")
-    raw = "raw" in own.columns
-    values = ((r.time, r.handle, bytes(r.raw) if raw and r.raw is not None else r.value.encode("latin-1")) for r in own.select("time", "handle", "value", *["raw"] * raw).toLocalIterator(prefetchPartitions=True))
+    widths = B.widths_of(rows)
+    value = F.col("value").cast("binary")
+    value = F.coalesce(F.col("raw"), value) if "raw" in trace.changes.columns else value
+    own = trace.changes.select("time", "handle", "seq", value.alias("value"))
+    if own.where((F.col("handle") < 1) | (F.col("handle") > len(widths)) | F.col("handle").isNull() | F.col("time").isNull() | F.col("value").isNull()).limit(1).count():
+        raise TraceError("a change without time or value, or of a handle that no variable has")
+    blocks = max(1, -(-own.count() // block_changes))
+    cuts = own.agg(F.percentile_approx("time", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] if blocks > 1 else []
+    bounds = np.unique(np.array(cuts or [], np.int64))
+
+    @F.pandas_udf("int")
+    def block(time: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, time.to_numpy()).astype(np.int32))
+
+    own = own.withColumn("block", block("time"))
+    last = own.groupBy("block").agg(F.max("time").alias("last")).orderBy("block").collect()
+    start = meta["start_time"] if meta.get("start_time") is not None else own.agg(F.min("time")).first()[0] or 0
+    end = max(meta.get("end_time") or 0, last[-1]["last"] if last else start, start)
+    begins = [start, *(r["last"] for r in last)]
+    spans = {r.block: (a, b) for r, a, b in zip(last, begins, [*begins[1 : len(last)], end], strict=False)}
+    # the last value of each handle in each block, carried on to all later blocks: the state before them
+    numbers = {r.block: i for i, r in enumerate(last)}
+    state = own.groupBy("block", "handle").agg(F.max_by("value", F.struct("time", "seq")).alias("value"))
+    order = F.array(*(F.lit(b) for b in numbers)) if numbers else F.array().cast("array<int>")
+    state = state.withColumn("next", F.lead("block").over(Window.partitionBy("handle").orderBy("block"))).select(F.col("handle").alias("holder"), F.col("value").alias("held"), F.explode(F.filter(order, lambda b: (b > F.col("block")) & (b <= F.coalesce(F.col("next"), F.lit(len(bounds)))))).alias("at"))
+    built = own.groupBy("block").cogroup(state.groupBy("at")).applyInArrow(_built(widths, spans, kind), _BUILT)
+    folder = f"{shared_dir(spark)}/{os.urandom(16).hex()}"
+    built.write.parquet(folder)  # each block is built once, however the rest goes
+    ready = spark.read.schema(_BUILT).parquet(folder).repartitionByRange(max(1, len(last)), "block").sortWithinPartitions("block")
     with open(f"{path}.part", "wb") as f:
-        for block in B.file_bytes(meta, rows, values, toggles, kind, block_changes):
-            f.write(block)
+        f.write(B.header_block(meta, rows, start, end, max(1, len(last))))
+        if not last:
+            f.write(B.value_block(start, end, [], B.first_frame(widths), widths, kind))
+        for r in ready.toLocalIterator(prefetchPartitions=True):
+            f.write(r.content)
+        for x in B.last_blocks(rows, toggles, kind):
+            f.write(x)
     os.replace(f"{path}.part", path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def write_vcd(lines: DataFrame, path: str) -> None:
