@@ -93,8 +93,8 @@ _SQL = (
 )
 
 query("file_changes", _SQL + "SELECT time, handle, value, false AS is_initial FROM e")(lambda s, d: _read(s, d).changes.select("time", "handle", "value", "is_initial"))
-query("file_hierarchy", _SQL + "SELECT ord, kind, type_code, name, handle, CASE WHEN kind = 'var' THEN is_alias END AS is_alias, CASE WHEN kind = 'var' THEN 16 END AS length, depth, path FROM h")(
-    lambda s, d: _read(s, d).hier.select("ord", "kind", "type_code", "name", "handle", "is_alias", "length", "depth", "path")
+query("file_hierarchy", _SQL + "SELECT ord, kind, coalesce(type_code, -1) AS type_code, name, coalesce(handle, -1) AS handle, is_alias, CASE WHEN kind = 'var' THEN 16 ELSE -1 END AS length, depth, path FROM h")(
+    lambda s, d: _read(s, d).hier.select("ord", "kind", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("type_code", "handle", "length")), F.coalesce("is_alias", F.lit(False)).alias("is_alias"), "name", "depth", "path")
 )
 query(
     "file_metadata",

@@ -65,7 +65,7 @@ def _finder(name: str, condition: str, wanted: str, signals: str | None = None,
 
 
 _finder("find_exact_bin", "ltrim(value, '0') = '100000000000'", "100000000000")
-_finder("find_exact_hex", "ltrim(value, '0') = ltrim('0000001111101000', '0')", "03E8", hexadecimal=True)
+_finder("find_exact_hex", "ltrim(value, '0') = ltrim('0000100000000000', '0')", "0800", hexadecimal=True)
 _finder("find_regex", "regexp_matches(value, '^0000.*11$')", "^0000.*11$", regex=True)
 _finder("find_hex_regex", f"regexp_matches({_hexsql}, '^1.[a-f]')", "^1.[a-f]", hexadecimal=True, regex=True)
 _finder("find_all", "regexp_matches(value, '0101$')", "0101$", regex=True, all_matches=True)
