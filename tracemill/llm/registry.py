@@ -15,6 +15,10 @@ QUERIES = {
     "op8_token_counts": unigram.op8_token_counts,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    # the columns of three of them that SQL can express
+    "quality_counts": quality.quality_counts,
+    "secret_bases": secret.secret_bases,
+    "lm_bases": suffix_tree.lm_bases,
 }
 
 ORACLES = {
@@ -22,4 +26,7 @@ ORACLES = {
     "op3_warc": warc.ORACLE,
     "op9_ngram_jaccard": jaccard.ORACLE,
     "op10_substring_dedup": substring.ORACLE,
+    "quality_counts": quality.COUNTS_ORACLE,
+    "secret_bases": secret.BASES_ORACLE,
+    "lm_bases": suffix_tree.BASES_ORACLE,
 }

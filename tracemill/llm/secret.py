@@ -132,3 +132,22 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str,
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(documents(spark, sf_dir)).drop("sig", "marks")
+
+
+def secret_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op4: the base spans, over the whole table."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+BASES_ORACLE = r"""
+WITH k AS (SELECT * FROM (VALUES
+  (0, 'assign', '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', ''), (2, 'hex', '')) AS k(number, kind, expr)),
+m AS (SELECT doc_id, 0 AS number, regexp_extract_all(text, (SELECT expr FROM k WHERE number = 0)) AS m, regexp_extract_all(text, (SELECT expr FROM k WHERE number = 0), 2) AS g, string_split_regex(text, (SELECT expr FROM k WHERE number = 0)) AS p FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 2, regexp_extract_all(text, '[0-9a-f]{32,}'), regexp_extract_all(text, '[0-9a-f]{32,}'), string_split_regex(text, '[0-9a-f]{32,}') FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, number, list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[: i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n, length(g[i]) AS own FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)),
+f AS (SELECT doc_id, number, a::BIGINT AS a, (a + n)::BIGINT AS b, (SELECT kind FROM k WHERE k.number = s.number) AS kind FROM s WHERE own >= CASE number WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END),
+c AS (SELECT doc_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, number) AS said FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256 FROM documents d LEFT JOIN c USING (doc_id)
+"""

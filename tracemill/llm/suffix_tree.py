@@ -532,3 +532,20 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, together: in
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
+
+
+def lm_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op5: the tokens and the base score, in six decimals, over the whole table."""
+    return op5_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+BASES_ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
+  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i + 1, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 5 = 1 AS held_out FROM documents),
+t AS (SELECT doc_id, held_out, unnest(list_concat(ws, [NULL])) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5) / (n.n + 0.5 * (n.v + 1)))), 6) AS base_score
+FROM t LEFT JOIN c ON c.w IS NOT DISTINCT FROM t.w, n GROUP BY doc_id, held_out
+"""
