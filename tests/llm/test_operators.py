@@ -286,6 +286,44 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_from_elsewhere(spark):
+    """Records of other writers: names, kinds and digests of all sorts; every fault is an ArchiveError."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor()
+
+    def one(kind, block, *more, version=b"WARC/1.0", name=b"<urn:uuid:1>"):
+        head = [version, b"WARC-Type: " + kind, b"WARC-Record-ID: " + name, b"WARC-Date: 2020-01-01T00:00:00Z", b"Content-Length: %d" % len(block), *more]
+        return press.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http, html = b"Content-Type: application/http; msgtype=response", b"<p>\xe9</p>"
+    body = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + html
+    good = [
+        one(b"warcinfo", b"software: x\r\n"), one(b"request", b"GET / HTTP/1.1\r\n\r\n", b"Content-Type: application/http; msgtype=request"), one(b"response", body, http),
+        one(b"response", body, http, b"WARC-Payload-Digest: sha256:" + hashlib.sha256(html).hexdigest().encode(), b"WARC-Target-URI: http://a/", b"X-Long: a", b"  b"),
+        one(b"response", body, http, b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(html).digest()).lower(), name=b"<urn:page:7>"), one(b"resource", html, b"Content-Type: text/html"),
+        one(b"revisit", b"", b"WARC-Refers-To: <urn:uuid:1>"), one(b"response", body, http, b"WARC-Payload-Digest: other:1"),
+    ]
+    read = lambda content: warc.read_archives(spark.createDataFrame([(content,)], "content binary")).collect()
+    got = read(b"".join(good))
+    digest = base64.b32encode(hashlib.sha1(html).digest()).decode()
+    assert [r.record_type for r in got] == ["warcinfo", "request", "response", "response", "response", "resource", "revisit", "response"]
+    for r in got:
+        own = r.record_type in ("response", "resource")
+        assert (r.payload, r.payload_bytes, r.payload_digest) == ((html, len(html), digest) if own else (None, None, None))
+    assert [r.page_id for r in got] == [None] * 4 + [7] + [None] * 3 and got[3].url == "http://a/" and got[6].refers_to_id == "<urn:uuid:1>"
+    assert read(None) == read(b"") == []
+    bad = [
+        one(b"response", body, http, b"WARC-Payload-Digest: sha1:AAAA"), one(b"response", body, http, b"WARC-Payload-Length: 3"), one(b"response", body, http, b"WARC-Payload-Length: x"), one(b"response", body, http, b"X: \xff"),
+        one(b"response", body, version=b"WARC/9"), good[0][:-3], press.compress(b"nothing"), b"\x5d\x2a\x4d\x18\x04\x00\x00\x00\x28\xb5\x2f\xfd" + good[0], press.compress(b"WARC/1.0\r\nA: b\r\n\r\n\r\n\r\n"),
+    ]
+    for raw in bad:
+        with pytest.raises(warc.ArchiveError):
+            [warc.record(*x) for x in warc.unpack(raw)]
+    with pytest.raises(warc.ArchiveError):
+        list(warc.unpack(one(b"resource", bytes(100_000)), most=50_000))
+
+
 def test_quality_counts(docs, nothing, corpus):
     def count(t):
         t = t or ""

@@ -33,6 +33,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = b"WARC/1.1"
 #: An archive ends at this many bytes of payload, or records.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 4_000_000, 2000
+#: A record that is read has at most so many bytes; a larger one is an error.
+RECORD_BYTES = 1 << 30
 #: Of an archive's payloads, so many, and so many bytes of each, train its dictionary of so many bytes.
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 64, 8192, 16_384
 
@@ -107,21 +109,40 @@ def frames(content: memoryview) -> Iterator[memoryview]:
         yield content[start:at]
 
 
-def unpack(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive: headers by lower-case name, and the block."""
+def _whole(reader: zstandard.ZstdDecompressor, frame: memoryview, most: int) -> bytes:
+    """A frame's content of at most so many bytes."""
+    with reader.stream_reader(frame) as stream:
+        raw = stream.read(most + 1)
+    if len(raw) > most:
+        raise ArchiveError(f"a record of over {most} bytes")
+    return raw
+
+
+def _text(value: bytes, frame: int) -> str:
+    try:
+        return value.decode("utf-8")
+    except UnicodeDecodeError as e:
+        raise ArchiveError(f"frame {frame}: a header that is not UTF-8") from e
+
+
+def unpack(content: bytes, most: int = RECORD_BYTES) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive: headers by lower-case name, and the block. A record may have `most` bytes; anything against the format is an ArchiveError."""
     reader = None
     for k, frame in enumerate(frames(memoryview(content))):
         magic = struct.unpack_from("<I", frame)[0]
         if magic != FRAME:
             if magic == SKIPPABLE and k == 0:
                 words = bytes(frame[8:])
-                if words[:4] == struct.pack("<I", FRAME):
-                    words = zstandard.ZstdDecompressor().decompress(words)
-                reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words))
+                try:
+                    if words[:4] == struct.pack("<I", FRAME):
+                        words = b"".join(_whole(zstandard.ZstdDecompressor(), x, most) for x in frames(memoryview(words)))
+                    reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words))
+                except zstandard.ZstdError as e:
+                    raise ArchiveError(f"the dictionary: {e}") from e
             continue
         reader = reader or zstandard.ZstdDecompressor()
         try:
-            raw = reader.decompressobj().decompress(frame)
+            raw = _whole(reader, frame, most)
         except zstandard.ZstdError as e:
             raise ArchiveError(f"frame {k}: {e}") from e
         head, gap, rest = raw.partition(b"\r\n\r\n")
@@ -129,11 +150,16 @@ def unpack(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if not gap or not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
             raise ArchiveError(f"frame {k} is no WARC record")
         fields: dict[str, str] = {}
+        last = None
         for line in lines[1:]:
+            if line[:1] in (b" ", b"\t") and last:  # a line that goes on
+                fields[last] += " " + _text(line.strip(), k)
+                continue
             name, colon, value = line.partition(b":")
             if not colon or not re.fullmatch(rb"[!#-'*+.0-9A-Z^_`a-z|~-]+", name):
                 raise ArchiveError(f"frame {k}: bad header line {line[:80]!r}")
-            fields[name.decode().lower()] = value.strip().decode("utf-8")
+            last = name.decode().lower()
+            fields[last] = _text(value.strip(), k)
         for needed in ("warc-type", "warc-record-id", "warc-date", "content-length"):
             if needed not in fields:
                 raise ArchiveError(f"frame {k} has no {needed}")
@@ -175,37 +201,62 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
     return marked.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive string, content binary")
 
 
-def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
-    """The records of archives (a column content): page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload if asked for.
+_HASHES = {"sha1": 20, "md5": 16, "sha256": 32, "sha512": 64}
 
-    payload_bytes and payload_digest (bare upper-case base32 of the SHA-1) are of the full payload; of a revisit, which
-    carries none, as its headers state, and its payload is null. A broken archive raises ArchiveError.
-    """
-    number = re.compile(r"<urn:page:(-?\d*)>")
 
-    def page(field: str | None) -> int | None:
-        found = number.fullmatch(field or "<urn:page:>")
-        if not found:
-            raise ArchiveError(f"bad record name {field}")
-        return int(found[1]) if found[1] else None
+def _holds(stated: str, payload: bytes) -> bool:
+    """Whether a digest (algorithm:value, in base32 or hexadecimal) is that of the payload; one of another algorithm is believed."""
+    kind, _, value = stated.partition(":")
+    if kind.lower() not in _HASHES:
+        return True
+    own = hashlib.new(kind.lower(), payload).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def record(fields: dict[str, str], block: bytes) -> tuple:
+    """A record as read_archives returns it, with its payload last."""
+    kind, body = fields["warc-type"], None
+    if kind in ("response", "resource", "conversion"):
+        body = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").partition(";")[0].strip().lower() == "application/http" else block
+    stated, length = fields.get("warc-payload-digest"), fields.get("warc-payload-length")
+    if length is not None and not re.fullmatch(r"[0-9]{1,18}", length):
+        raise ArchiveError(f"{fields['warc-record-id']}: a payload of {length} bytes")
+    if body is not None and (stated is not None and not _holds(stated, body) or length is not None and int(length) != len(body)):
+        raise ArchiveError(f"{fields['warc-record-id']}: the payload differs from its digest or length")
+    own = _digest(body) if body is not None else stated[5:].upper() if (stated or "").lower().startswith("sha1:") else None
+    page = lambda name: int(found[1]) if (found := re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", fields.get(name, ""))) else None
+    return page("warc-record-id"), fields["warc-record-id"], fields.get("warc-target-uri"), len(body) if body is not None else None if length is None else int(length), own, kind, page("warc-refers-to"), fields.get("warc-refers-to"), body
+
+
+_RECORD = "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_to_id string"
+
+
+def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
+    """The records of archives (a column content): page_id, record_id, url, payload_bytes, payload_digest, record_type, refers_to, refers_to_id, and payload if asked for.
+
+    Archives may come from elsewhere. record_type is WARC-Type; page_id and refers_to are the numbers of records that
+    write_archives names, else null, and record_id and refers_to_id the names as they are. The payload is the body of an HTTP
+    response, or the block of another response, resource or conversion; it is held against a stated digest (SHA-1, SHA-256,
+    SHA-512 or MD5) and length. payload_bytes and payload_digest (bare upper-case base32 of the SHA-1) are of the full
+    payload; of a revisit, which carries none, as its headers state; null for other records that state none. A null content
+    has no records. A broken archive raises ArchiveError.
+    """
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: 8 + payload]
+    names = [x.split()[0] for x in _RECORD.split(", ")] + ["payload"] * payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 6 + payload]
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 6 + payload]
         for batch in batches:
             for content in batch.column("content"):
-                rows = []
-                for fields, block in unpack(content.as_py()):
-                    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    stated, body = fields.get("warc-payload-length"), None
-                    if fields["warc-type"] == "response":
-                        body = block.partition(b"\r\n\r\n")[2]
-                        if _digest(body) != digest or stated != str(len(body)):
-                            raise ArchiveError(f"{fields['warc-record-id']}: the payload differs from its digest or length")
-                    rows.append((page(fields["warc-record-id"]), fields.get("warc-target-uri"), int(stated), digest, fields["warc-type"], page(fields.get("warc-refers-to")), body)[: 6 + payload])
+                rows, size = [], 0
+                for fields, block in unpack(content.as_py() or b""):
+                    rows.append(record(fields, block)[: 8 + payload])
+                    size += len(block)
+                    if size >= ARCHIVE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return archives.select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload)
+    return archives.select("content").mapInArrow(run, _RECORD + ", payload binary" * payload)
 
 
 def save_archives(archives: DataFrame, folder: str) -> None:
@@ -224,7 +275,7 @@ def save_archives(archives: DataFrame, folder: str) -> None:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = materialize(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    return read_archives(archives, payload=False).drop("url")
+    return read_archives(archives, payload=False).drop("record_id", "url", "refers_to_id")
 
 
 ORACLE = """
