@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_dir
 
@@ -17,9 +18,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fragments(spark: SparkSession) -> int:
-    """Into how many ranges a hash space is cut: as many as the session has shuffle partitions, which grow with the data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: A hash range has about so many bytes of text to itself at most.
+RANGE_BYTES = 32_000_000
+
+
+def fragments(docs: DataFrame) -> int:
+    """Into how many ranges a hash space is cut: as many as the session has shuffle partitions, or more for a larger input."""
+    size = docs.agg(F.sum(F.octet_length(docs["text"].cast("string")))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     lost executor, as files do.
     """
     spark = docs.sparkSession
-    parts = fragments(spark)
+    parts = fragments(docs)
     runs = texts(docs).mapInArrow(_runs(k, parts), _RUN)
     counted = runs.groupBy("part").applyInArrow(_frequencies, _RUN)
     sets = materialize(counted.groupBy("chunk").applyInArrow(_prefixes(percent), _SET))

@@ -6,6 +6,8 @@ seed nothing. Around every shared anchor the match is extended to all windows of
 equal windows are joined, and each is charged to the smallest doc_id that has it. Runs of matched windows, one after the
 other, are the maximal repeats: every word that one covers in a document with a larger doc_id goes.
 
+Windows are compared by 96 bits: a hash of 64, and 32 more of another one.
+
 Which anchors are shared is told to the second pass by a bitmap of a fixed size, cut by hash range, that has two bits for
 each shared anchor. It only saves work: a bit set by chance sends windows on that then match nothing, and none is lost.
 """
@@ -28,8 +30,9 @@ GRAM = 5
 #: Bits of the bitmap of shared anchors; its 8 MB are all that the driver and the workers hold, whatever the input.
 BITMAP_BITS = 1 << 26
 _LAST = np.iinfo(np.int64).max
+_CHECK = np.uint64(0xD1B54A32D192ED03)
 _SEED = "part int, hashes binary, many binary"
-_MATCH = "part int, chunk long, hashes binary, places binary, starts binary, ids binary, sigs binary"
+_MATCH = "part int, chunk long, hashes binary, checks binary, places binary, starts binary, ids binary, sigs binary"
 _COVER = "chunk long, places binary, starts binary, sigs binary"
 
 
@@ -117,9 +120,10 @@ def _windows(parts: int, window: int, bitmap):
             if not len(start):
                 continue
             key = W.shingles(h, words.first, window)[0][start]
+            check = (W.shingles(W.mix(h ^ _CHECK), words.first, window)[0][start] >> np.uint64(32)).astype(np.uint32)
             text = words.texts()[start]
             by = np.argsort(key, kind="stable")
-            key, start, text = key[by], start[by], text[by]
+            key, check, start, text = key[by], check[by], start[by], text[by]
             ids = np.asarray(batch.column("doc_id").fill_null(_LAST))
             sigs = np.asarray(batch.column("sig"))
             cut = W.ranges(key, parts)
@@ -127,26 +131,28 @@ def _windows(parts: int, window: int, bitmap):
             for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:
                     used, place = np.unique(text[a:b], return_inverse=True)
-                    rows.append((p, chunk, key[a:b].tobytes(), place.astype(np.uint16).tobytes(), (start[a:b] - words.first[text[a:b]]).astype(np.uint32).tobytes(), ids[used].tobytes(), sigs[used].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64()] + [pa.binary()] * 5)], names=["part", "chunk", "hashes", "places", "starts", "ids", "sigs"])
+                    rows.append((p, chunk, key[a:b].tobytes(), check[a:b].tobytes(), place.astype(np.uint16).tobytes(), (start[a:b] - words.first[text[a:b]]).astype(np.uint32).tobytes(), ids[used].tobytes(), sigs[used].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64()] + [pa.binary()] * 6)], names=["part", "chunk", "hashes", "checks", "places", "starts", "ids", "sigs"])
 
     return run
 
 
 def _covers(rows: pa.Table) -> pa.Table:
     """All windows of one hash range -> by step, those that also start in a document with a smaller doc_id."""
-    runs = list(zip(*([np.frombuffer(x, t) for x in rows[c].to_pylist()] for c, t in (("hashes", np.uint64), ("places", np.uint16), ("starts", np.uint32), ("ids", np.int64), ("sigs", np.int64))), strict=True))
-    h = np.concatenate([r[0] for r in runs])
+    runs = list(zip(*([np.frombuffer(x, t) for x in rows[c].to_pylist()] for c, t in (("hashes", np.uint64), ("places", np.uint16), ("starts", np.uint32), ("ids", np.int64), ("sigs", np.int64), ("checks", np.uint32))), strict=True))
+    h, check = (np.concatenate([r[i] for r in runs]) for i in (0, 5))
     doc = np.concatenate([r[3][r[1]] for r in runs])
     by = np.argsort(h, kind="stable")
-    h, own = h[by], doc[by]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    if ((h[by][1:] == h[by][:-1]) & (check[by][1:] != check[by][:-1])).any():  # different windows with the same 64 bits
+        by = np.lexsort((check, h))
+    h, check, own = h[by], check[by], doc[by]
+    at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])]))
     least = np.minimum.reduceat(own, at)
     gone = np.empty(len(h), bool)
     gone[by] = own > np.repeat(least, np.diff(at, append=len(h)))
-    del h, own, by, doc
+    del h, check, own, by, doc
     out, done = [], 0
-    for chunk, (key, place, start, _, sig) in zip(rows["chunk"].to_pylist(), runs, strict=True):
+    for chunk, (key, place, start, _, sig, _) in zip(rows["chunk"].to_pylist(), runs, strict=True):
         mask = gone[done : done + len(key)]
         done += len(key)
         if mask.any():
@@ -212,7 +218,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     words than the window is kept whole. An empty table gives an empty result. window must be over GRAM + 1.
     """
     spark = docs.sparkSession
-    parts = fragments(spark)
+    parts = fragments(docs)
     signed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     signed = signed.withColumn("sig", F.xxhash64("doc_id", "text", F.isnull("doc_id")))
     width = (BITMAP_BITS // parts // 8 * 8 or 8) // 8

@@ -498,7 +498,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, together: in
     empty result.
     """
     spark = docs.sparkSession
-    parts = fragments(spark)
+    parts = fragments(docs)
     held = F.coalesce(F.crc32(docs["doc_id"].cast("long").cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), held.alias("held_out"), F.spark_partition_id().alias("task"))
     train = rows.where(~F.col("held_out")).count()
