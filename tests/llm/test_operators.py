@@ -259,6 +259,19 @@ def test_license(docs, nothing, corpus):
     assert license.license_scan(nothing).count() == 0
 
 
+def test_license_labels(spark):
+    """Lines that differ from a template by its telling word get their own label only."""
+    lines = {
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa", "Released under the MIT License": "mit", "Released under the BSD License": "bsd",
+        "GNU Lesser General Public License as published by the Free Software Foundation": "lgpl", "GNU General Public License": "gpl", "plain words": "", "Licensed under the Apache License, Version 2.0": "apache",
+    }
+    rows = list(enumerate([*lines, "\n".join(lines), "Released under the MIT License\n\nReleased under the BSD License", None]))
+    got = [r.labels for r in sorted(license.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
+    assert got[: len(lines)] == list(lines.values())
+    assert set(got[len(lines)].split(",")) == {"apache", "bsd", "cc-by", "cc-by-nc", "cc-by-sa", "gpl", "lgpl", "mit"}
+    assert got[-2:] == ["bsd,mit", ""]
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (9, "u", ""), (4, "x\r\nWARC-Type: response", "y" * 100_000), (None, "n", "<p>é</p>"), (7, "z", "only")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "'c' AS content")

@@ -32,6 +32,8 @@ TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("bsd", "Released under the BSD License"),
+    ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
@@ -85,7 +87,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     digits and all beyond ASCII; a null text is empty: no words, empty labels, score 0, null places. n_base counts the
     places where the words of one of PHRASES stand one after the other, first_word and last_word are their smallest and
     largest start. A block is a line or a paragraph. A template is found in a block that holds at least percent / 100 of
-    the template's distinct words; labels are those of phrases and templates found; n_blocks counts the pairs of a block
+    the template's distinct words; labels are those of phrases, and of the template of which a block holds the largest share,
+    of several the one with the most words in common (ties: all); n_blocks counts the pairs of a block
     and a template found in it; score is the largest share of a template that a block holds among those, 1 with a phrase,
     0 with neither. Repeated rows give repeated rows; an empty table gives an empty result. templates are to be some
     hundreds at most: they go to every task.
@@ -131,10 +134,11 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                     lines = [_WORD.findall(line) for line in paragraph.split(b"\n")]
                     n += sum(map(len, lines))
                     for words in [*lines, [w for line in lines for w in line]] if len(lines) > 1 else lines:
-                        for i, overlap in found(words):
-                            labels.add(sets[i][0])
-                            best = max(best, overlap / len(ranked[i]))
-                            blocks += 1
+                        hits = [(overlap / len(ranked[i]), overlap, sets[i][0]) for i, overlap in found(words)]
+                        if hits:
+                            top = max(hits)[:2]
+                            labels.update(label for *own, label in hits if tuple(own) == top)
+                            best, blocks = max(best, top[0]), blocks + len(hits)
                 starts, base = [], set()
                 if any(p[0] in low and p[-1] in low for p, _ in phrases):
                     words = _WORD.findall(low)
@@ -176,13 +180,13 @@ hit AS ({hits}),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi FROM hit GROUP BY doc_id),
 p AS (SELECT doc_id, unnest(regexp_split_to_array(t, '\n[{_SEPARATOR}]*\n')) AS p FROM d),
 b AS (SELECT doc_id, unnest(string_split(p, chr(10))) AS b FROM p UNION ALL SELECT doc_id, p FROM p WHERE contains(p, chr(10))),
-bw AS (SELECT doc_id, list_distinct(regexp_extract_all(b, '{words}')) AS ws FROM b),
+bw AS (SELECT doc_id, row_number() OVER () AS block, list_distinct(regexp_extract_all(b, '{words}')) AS ws FROM b),
 tpl(label, ts) AS (VALUES {listed}),
-m AS (SELECT doc_id, label, len(list_intersect(ts, ws))::DOUBLE / len(ts) AS score FROM bw, tpl WHERE 100 * len(list_intersect(ts, ws)) >= 80 * len(ts)),
+m AS (SELECT doc_id, label, len(list_intersect(ts, ws))::DOUBLE / len(ts) AS score, rank() OVER (PARTITION BY block ORDER BY len(list_intersect(ts, ws))::DOUBLE / len(ts) DESC, len(list_intersect(ts, ws)) DESC) AS place FROM bw, tpl WHERE 100 * len(list_intersect(ts, ws)) >= 80 * len(ts)),
 found AS (SELECT doc_id, max(score) AS score, count(*) AS n FROM m GROUP BY doc_id),
 labels AS (
   SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels, string_agg(label, ',' ORDER BY label) FILTER (base = 1) AS base_labels
-  FROM (SELECT doc_id, label, max(base) AS base FROM (SELECT doc_id, label, 1 AS base FROM hit UNION ALL SELECT doc_id, label, 0 FROM m) GROUP BY ALL) GROUP BY doc_id)
+  FROM (SELECT doc_id, label, max(base) AS base FROM (SELECT doc_id, label, 1 AS base FROM hit UNION ALL SELECT doc_id, label, 0 FROM m WHERE place = 1) GROUP BY ALL) GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.lo::BIGINT AS first_word, base.hi::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(found.score, 0.0) END::DOUBLE AS score, coalesce(found.n, 0)::BIGINT AS n_blocks
