@@ -59,3 +59,10 @@ def from_int(value: Column, width: Column | int) -> Column:
 def canonical_symbols(value: Column) -> Column:
     """Upper case to lower; what is none of the nine symbols to -."""
     return F.regexp_replace(F.lower(value), "[^01xzhuwl-]", "-")
+
+
+def from_words(words: Column, width: Column | int, word_bits: int = 32) -> Column:
+    """The lowest `width` bits of an array of unsigned words, the least significant word first."""
+    whole = F.array_join(F.transform(F.reverse(words), lambda w: from_int(w.cast("long"), word_bits)), "")
+    w = F.lit(width) if isinstance(width, int) else width
+    return F.right(F.concat(F.repeat(F.lit("0"), w), whole), w)

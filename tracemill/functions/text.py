@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 # The bytes with an escape letter.
 ESCAPES = {7: r"\a", 8: r"\b", 12: r"\f", 10: r"\n", 13: r"\r", 9: r"\t", 11: r"\v", 39: r"\'", 34: r"\"", 92: r"\\", 63: r"\?"}
@@ -45,6 +45,18 @@ def unescape_text(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unescape(s))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def escape_texts(words: pd.Series) -> pd.Series:
+    """escape_text of each of some strings."""
+    return words.map(lambda ws: None if ws is None else [None if w is None else escape(w.encode("utf-8")) for w in ws])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def unescape_texts(words: pd.Series) -> pd.Series:
+    """unescape_text of each of some strings; bytes that are no UTF-8 are replaced."""
+    return words.map(lambda ws: None if ws is None else [None if w is None else unescape(w).decode("utf-8", "replace") for w in ws])
+
+
 @F.pandas_udf(StringType())
 def _real_text(value: pd.Series) -> pd.Series:
     return value.map(lambda x: f"{x:.16g}")
@@ -65,17 +77,19 @@ def vcd_id(handle: Column) -> Column:
 
 
 def encode_enum(name: Column, literals: Column, values: Column, width: int = 0) -> Column:
-    """name, count, literals, values with zeros on the left up to width, all separated by a space."""
-    padded = F.transform(values, lambda v: F.when(F.length(v) < width, F.lpad(v, width, "0")).otherwise(v))
-    return F.concat_ws(" ", name, F.size(literals).cast("string"), F.array_join(literals, " "), F.array_join(padded, " "))
+    """name, count, literals, values with zeros on the left up to width, all separated by a space; literals and values escaped."""
+    zeros = F.transform(values, lambda v: F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(width) - F.octet_length(v))))
+    padded = F.zip_with(zeros, escape_texts(values), lambda z, v: F.concat(z, v))
+    return F.concat_ws(" ", name, F.size(literals).cast("string"), F.array_join(escape_texts(literals), " "), F.array_join(padded, " "))
 
 
 def decode_enum(text: Column) -> Column:
-    """A struct (name, elems: array<struct<literal, value>>); null unless there are two words for each element counted."""
+    """A struct (name, elems: array<struct<literal, value>>), unescaped; null unless there are two words for each element counted."""
     words = F.split(text, " ")
     n = F.try_element_at(words, F.lit(2)).try_cast("int")
     whole = (n > 0) & (F.size(words) == 2 * n + 2)
-    elems = F.transform(F.sequence(F.lit(3), n + 2), lambda i: F.struct(F.element_at(words, i).alias("literal"), F.element_at(words, i + n).alias("value")))
+    parts = lambda first: unescape_texts(F.when(whole, F.slice(words, first, n)))
+    elems = F.zip_with(parts(F.lit(3)), parts(n + 3), lambda x, y: F.struct(x.alias("literal"), y.alias("value")))
     return F.when(whole, F.struct(F.element_at(words, 1).alias("name"), elems.alias("elems")))
 
 

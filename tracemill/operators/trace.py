@@ -91,7 +91,11 @@ def predicate(value: Column, wanted: str, hexadecimal: bool = False, regex: bool
 
 def find(changes: DataFrame, vars_: DataFrame, wanted: str, hexadecimal: bool = False, regex: bool = False, all_matches: bool = False, signals: str | None = None) -> DataFrame:
     """time, handle, name, value of the changes that match: the first of each handle, or all. Changes come with their preferred name."""
-    hits = changes.where(predicate(F.col("value"), wanted, hexadecimal, regex))
+    return named(changes.where(predicate(F.col("value"), wanted, hexadecimal, regex)), vars_, all_matches, signals)
+
+
+def named(hits: DataFrame, vars_: DataFrame, all_matches: bool = False, signals: str | None = None) -> DataFrame:
+    """The first hit of each handle, or all, with the handle's preferred name; of the signals whose path matches, if asked for."""
     names = preferred_names(vars_, signals)
     if not all_matches:
         # folded before the names are joined: a row a handle moves
@@ -113,11 +117,25 @@ def value_at(changes: DataFrame, time: int) -> DataFrame:
     return changes.where(F.col("time") <= time).groupBy("handle").agg(F.max_by("value", F.struct("time", "seq")).alias("value"))
 
 
-def values_at(changes: DataFrame, points: DataFrame) -> DataFrame:
-    """points (handle, at) with the value at that time, or null: both sides in one order per handle, the last value carried on."""
-    both = changes.select("handle", F.col("time").alias("at"), "seq", "value", F.lit(0).alias("side")).unionByName(points.select("handle", "at", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("side")))
-    order = Window.partitionBy("handle").orderBy("at", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("value", F.last("value", ignorenulls=True).over(order)).where("side = 1").select("handle", "at", "value")
+def values_at(changes: DataFrame, points: DataFrame, bucket: int | None = None) -> DataFrame:
+    """points (handle, at) with the value at that time, or null: both sides in one order per handle, the last value carried on.
+
+    With a bucket, times are dealt into buckets of so many units, each on its own, so that a signal that changes all the
+    time is many tasks' work; what a bucket begins with comes from a row for each handle and bucket.
+    """
+    cut = lambda time: F.floor(F.col(time) / bucket) if bucket else F.lit(0).cast("long")
+    dealt = changes.select("handle", F.col("time").alias("at"), "seq", "value", F.lit(1).alias("side"), cut("time").alias("bucket"))
+    asked = points.select("handle", "at", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("value"), F.lit(2).alias("side"), cut("at").alias("bucket"))
+    both = dealt.unionByName(asked)
+    if bucket:
+        last = dealt.groupBy("handle", "bucket").agg(F.max_by("value", F.struct("at", "seq")).alias("value"))
+        last = last.unionByName(asked.select("handle", "bucket").distinct().withColumn("value", F.lit(None).cast("string")))
+        ends = last.groupBy("handle", "bucket").agg(F.max("value").alias("value"))
+        upto = Window.partitionBy("handle").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        begins = ends.withColumn("value", F.last("value", ignorenulls=True).over(upto)).where("value is not null")
+        both = both.unionByName(begins.select("handle", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("seq"), "value", F.lit(0).alias("side"), "bucket"))
+    order = Window.partitionBy("handle", "bucket").orderBy(F.col("at").asc_nulls_first(), "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("value", F.last("value", ignorenulls=True).over(order)).where("side = 2").select("handle", "at", "value")
 
 
 def frames(changes: DataFrame, block: Column) -> DataFrame:
@@ -290,6 +308,18 @@ def value_lines(changes: DataFrame, blackouts: DataFrame | None = None) -> DataF
     return out
 
 
+def initial_lines(vars_: DataFrame, state: DataFrame) -> DataFrame:
+    """ord, line: the section $dumpvars ... $end that stands at the first time, with a line for each handle of state (handle, value); x where state has none."""
+    own = vars_.where("not is_alias and type_code <> 21").select("handle", "length", F.col("type_code").isin(labels.REAL_TYPES).alias("real"))
+    known = own.join(state.select("handle", "value"), "handle", "left")
+    value = F.coalesce("value", F.when(F.col("real"), "nan").otherwise(F.repeat(F.lit("x"), F.col("length"))))
+    code = text.vcd_id(F.col("handle"))
+    vector = F.concat(F.when(F.col("real"), "r").when(value.rlike("[^01xz]"), "p").otherwise("b"), value, F.lit(" "), code)
+    lines = known.select(F.col("handle").cast("long").alias("ord"), F.when((F.length(value) == 1) & ~F.col("real"), F.concat(value, code)).otherwise(vector).alias("line"))
+    ends = vars_.sparkSession.createDataFrame([(0, "$dumpvars"), ((1 << 63) - 1, "$end")], "ord long, line string")
+    return lines.unionByName(ends)
+
+
 def source_stems(stems: DataFrame) -> DataFrame:
     """ord, path, line, path_id, first: each path numbered by its first use; the first use also declares it. A catalogue's size."""
     firsts = stems.groupBy("path").agg(F.min("ord").alias("first_ord"))
@@ -299,7 +329,7 @@ def source_stems(stems: DataFrame) -> DataFrame:
 
 def resolve_stems(attrs: DataFrame) -> DataFrame:
     """ord, path, line of source stems (Misc 4 and 5), by the declared paths (Misc 3: name, and its number as arg)."""
-    misc = attrs.where("type_code = 0")
+    misc = attrs.where("type_code = 0").select("ord", "subtype_code", "name", "arg", "arg_from_name")
     paths = misc.where("subtype_code = 3").select(F.col("arg").alias("arg_from_name"), F.col("name").alias("path"))
     return misc.where("subtype_code in (4, 5)").join(small(paths), "arg_from_name").select("ord", "path", F.col("arg").alias("line"))
 

@@ -107,7 +107,7 @@ def value_at_batch(s, d):
     c, o = t.changes(s, d), t.table(s, d, "orders")
     shift = c.agg(F.min("time")).first()[0] - o.agg(F.min(t.micros("o_orderdate"))).first()[0]
     points = o.select((F.col("o_custkey") + 1).cast("int").alias("handle"), (t.micros("o_orderdate") + shift).alias("at")).distinct()
-    return T.values_at(c, points.join(c.select("handle").distinct(), "handle", "left_semi"))
+    return T.values_at(c, points.join(c.select("handle").distinct(), "handle", "left_semi"), bucket=DAY)
 
 
 query("frame", with_("shipments") + f", b AS (SELECT DISTINCT time // {90 * DAY} AS block FROM shipments) SELECT block, handle, arg_max(value, (time, seq)) AS value FROM b JOIN shipments ON time // {90 * DAY} <= block GROUP BY ALL")(lambda s, d: T.frames(t.shipments(s, d), F.floor(F.col("time") / (90 * DAY))))

@@ -10,7 +10,7 @@ import gzip
 import io
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 from typing import BinaryIO, NamedTuple
 
@@ -130,7 +130,8 @@ class Block(NamedTuple):
 class File:
     """What a file states about itself: header, widths, blocks of values, blackouts, hierarchy. Blocks that are being written end it."""
 
-    def __init__(self, f: BinaryIO):
+    def __init__(self, f: BinaryIO, side: Callable[[], bytes | None] | None = None):
+        """side: reads the hierarchy from a file beside this one, for one that has none inside."""
         self.f, self.values, self.widths, self.blackouts, self.hierarchy, self.head, self.geometry = f, [], None, [], None, None, None
         at = 0
         while True:
@@ -143,7 +144,7 @@ class File:
                 if not length:
                     raise FormatError("the wrapped file is not finished")
                 f.seek(17)
-                self.__init__(io.BytesIO(gzip.decompress(f.read())))
+                self.__init__(io.BytesIO(gzip.decompress(f.read())), side)
                 self.wrapped = True
                 return
             if tag == UNFINISHED or length < 8:
@@ -176,8 +177,15 @@ class File:
                     self.hierarchy = unpack("4", unpack("4", raw[8:], once), size)
             at += 1 + length
         self.wrapped = False
+        if self.hierarchy is None and side is not None:
+            self.hierarchy = side()
         if self.head is None or not self.values or self.hierarchy is None:
             raise FormatError("no header, no values or no hierarchy")
+        if self.head["end_time"]:
+            if self.head["max_handle"] < 1:
+                raise FormatError("no handles")
+            if self.head["vc_sections"]:  # what was appended after the header was written is not of this state
+                del self.values[self.head["vc_sections"] :]
         if not self.head["end_time"]:
             self.head |= {"start_time": self.values[0].begin, "end_time": self.values[-1].end}
         if self.widths is None:
@@ -492,18 +500,21 @@ def header_block(meta: dict, hierarchy: list[dict], start: int, end: int, blocks
     return _block(HEADER, head)
 
 
+def blackout_block(toggles: list[tuple[int, bool]]) -> bytes:
+    """Times of recording going off and on, in order."""
+    steps = (bytes([active]) + put_varint(t - last) for (t, active), last in zip(toggles, [0, *(t for t, _ in toggles)], strict=False))
+    return _block(BLACKOUT, put_varint(len(toggles)) + b"".join(steps))
+
+
 def last_blocks(hierarchy: list[dict], blackouts: Iterable[tuple[int, bool]], kind: str) -> Iterator[bytes]:
     """What stands after the values: widths, blackouts, hierarchy."""
     own = widths_of(hierarchy)
     geometry = b"".join(map(put_varint, own))
     small = zlib.compress(geometry, 9)
     yield _block(GEOMETRY, struct.pack(">QQ", len(geometry), len(own)) + (small if len(small) < len(geometry) else geometry))
-    toggles, last, n = bytearray(), 0, 0
-    for t, active in blackouts:
-        toggles += bytes([active]) + put_varint(t - last)
-        last, n = t, n + 1
-    if n:
-        yield _block(BLACKOUT, put_varint(n) + bytes(toggles))
+    toggles = list(blackouts)
+    if toggles:
+        yield blackout_block(toggles)
     raw = hierarchy_bytes(hierarchy)
     yield _block(HIERARCHY, struct.pack(">Q", len(raw)) + gzip.compress(raw, mtime=0)) if kind != "4" else _block(HIERARCHY_LZ4, struct.pack(">Q", len(raw)) + pack("4", raw))
 

@@ -34,7 +34,21 @@ SCHEMAS = {
 
 
 def open_file(path: str) -> B.File:
-    return B.File(open(path.removeprefix("file:"), "rb"))  # noqa: SIM115  the file stays open while its blocks are read
+    """A file, with the hierarchy in <path>.hier if it has none inside; it stays open while its blocks are read."""
+    path = path.removeprefix("file:")
+
+    def side() -> bytes | None:
+        if not os.path.exists(f"{path}.hier"):
+            return None
+        with open(f"{path}.hier", "rb") as f:
+            return f.read()
+
+    f = open(path, "rb")  # noqa: SIM115
+    try:
+        return B.File(f, side)
+    except BaseException:
+        f.close()
+        raise
 
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
