@@ -25,6 +25,8 @@ from .common import documents, texts
 
 #: Pieces of text whose ids a worker keeps at hand; it starts anew when there are more.
 KEPT_PIECES = 300_000
+#: Of so many characters or bytes at most.
+KEPT_LENGTH = 256
 
 
 def _byte_of() -> dict[str, int]:
@@ -193,7 +195,9 @@ class _Kept(dict):
         self.make = make
 
     def __missing__(self, key):
-        self[key] = out = self.make(key)
+        out = self.make(key)
+        if len(key) <= KEPT_LENGTH:
+            self[key] = out
         return out
 
 

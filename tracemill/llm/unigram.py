@@ -57,13 +57,16 @@ class Counter:
         n = len(text)
         best: list[float | None] = [0.0] + [None] * n
         count = [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, piece in self.machine.iter(text):
-            ends[end].append(piece)
+        matches = self.machine.iter(text)  # by their ends
+        end, piece = next(matches, (n, None))
         for at in range(n):
+            found = []
+            while end == at:
+                found.append(piece)
+                end, piece = next(matches, (n, None))
             # the longest piece starts first: it stays unless a later start is better
             single = False
-            for length, score in sorted(ends[at], reverse=True):
+            for length, score in sorted(found, reverse=True):
                 start = at + 1 - length
                 total = best[start] + score
                 if best[at + 1] is None or total > best[at + 1]:

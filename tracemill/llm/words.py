@@ -86,23 +86,30 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: b
 
 
 def hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes, made of some MB of text at once."""
     n = len(words.starts)
-    if not n:
-        return np.empty(0, np.uint64)
-    lengths = words.ends - words.starts
-    base = int(words.starts[0])
+    out = np.empty(n, np.uint64)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(words.starts, words.starts[at] + STEP_BYTES)))
+        out[at:to] = _hashes(words.data, words.starts[at:to], words.ends[at:to], int(words.starts[to]) if to < n else len(words.data))
+        at = to
+    return out
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
+    base = int(starts[0])
     # place of each byte in its word; separators get factor 0
-    place = np.arange(base, len(words.data))
-    gaps = np.diff(words.starts, append=len(words.data))
-    place -= np.repeat(words.starts, gaps)
+    place = np.arange(base, end)
+    gaps = np.diff(starts, append=end)
+    place -= np.repeat(starts, gaps)
     table = powers(int(gaps.max()))
-    value = words.data[base:].astype(np.uint64)
+    value = data[base:end].astype(np.uint64)
     value += np.uint64(1)
     value *= table[place]
-    value[place >= np.repeat(lengths, gaps)] = 0  # what stands between words
-    out = np.add.reduceat(value, words.starts - base)
-    return mix(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    value[place >= np.repeat(ends - starts, gaps)] = 0  # what stands between words
+    out = np.add.reduceat(value, starts - base)
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
