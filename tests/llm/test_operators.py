@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -366,6 +367,49 @@ def test_quality_rules(spark, nothing):
     assert quality.learn(nothing, labels) == []
 
 
+def test_quality_rules_on_unseen_documents(spark):
+    """Three kinds of junk, of which no one statistic tells all: a list learned from some documents judges others."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+
+    def text(kind):
+        ws = [word() for _ in range(rng.randint(60, 120))]
+        if kind == 1:
+            ws = [w.upper() if rng.random() < 0.8 else w for w in ws]
+        elif kind == 2:
+            ws = [w + "!" if rng.random() < 0.7 else w for w in ws]
+        elif kind == 3:
+            ws = [str(rng.randrange(10_000)) if rng.random() < 0.6 else w for w in ws]
+        return " ".join(ws)
+
+    kinds = [rng.choice([0, 0, 0, 1, 2, 3]) for _ in range(1800)]
+    docs = spark.createDataFrame([(i, text(k)) for i, k in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k == 0)) for i, k in enumerate(kinds[:1200])], "doc_id long, quality int")
+    rules = quality.learn(docs, labels)
+    assert len(rules) >= 3
+    kept = {r.doc_id: r.verdict.kept for r in quality.judge(docs.where("doc_id >= 1200"), rules).collect()}
+    good, bad = ([kept[i] for i in range(1200, 1800) if (kinds[i] == 0) == same] for same in (True, False))
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_quality_passes_all_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 99, 1.5, "x", "y")], "doc_id long, text string, rule int, features double, counts string, verdict string")
+    one = quality.judge(docs, [], name="told").first()
+    assert (one.rule, one.features, one.counts, one.verdict, one.told.n_words, one.told.kept) == (99, 1.5, "x", "y", 3, False)
+    assert quality.judge(docs, []).first().verdict.base_failed
+
+
+def test_release(spark):
+    from tracemill.llm import common
+
+    before = common._WRITTEN.pop(spark.sparkContext.applicationId, [])
+    path = common.materialize(spark.range(3)).inputFiles()[0].rpartition("/")[0].removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.exists(path)
+    common._WRITTEN[spark.sparkContext.applicationId] = before
+
+
 def test_scores(docs, nothing, corpus):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     tokens = lambda t: [*words(low(t)), None]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,32 @@ from pyspark.sql import functions as F
 from ..sources.scratch import shared_dir
 
 
+#: Folders of the tables written so far, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor costs no more than a read."""
+    """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor costs no more than a read. release() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that materialize() has written for this application; what still reads them fails. Also done when Python ends before Spark."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    conf = context._jsc.hadoopConfiguration()
+    for name in _WRITTEN.pop(context.applicationId, []):
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 #: A hash range has about so many bytes of text to itself at most.
 RANGE_BYTES = 32_000_000
 
