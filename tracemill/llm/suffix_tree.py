@@ -46,6 +46,8 @@ _ALPHABET = 258
 _STEP_BYTES = 4_000_000
 #: Training positions after one word that stay together; those after a commoner word are dealt by the word before it.
 TOGETHER = 1_000_000
+#: Positions of a task that are counted and tested at once, if they stand after more than one word.
+_AT_ONCE = 200_000
 #: Words before a word that are its context at most.
 WORDS = 2
 #: Numbers of tokens: the beginning of a text, its end, and words from here on; and what stands for no token.
@@ -408,7 +410,7 @@ def _positions(got: list[dict]) -> _Positions:
     second = np.concatenate([_unpack(r["second"], np.uint32) for r in got])
     length = [int.from_bytes(r["places"][:8], "little") for r in got]
     cut = np.cumsum([0, *length])
-    below = np.concatenate([_unpack(r["below"], np.float32)[np.unique(number[a:b], return_inverse=True)[1]] for r, a, b in zip(got, cut[:-1], cut[1:], strict=True)]).astype(float)
+    below = np.concatenate([_unpack(r["below"], np.float32)[np.unique(number[a:b], return_inverse=True)[1]] for r, a, b in zip(got, cut[:-1], cut[1:], strict=True)])
     weight = np.concatenate([np.unpackbits(np.frombuffer(r["trained"], np.uint8), count=m) for r, m in zip(got, length, strict=True)])
     return _Positions(first, second, number, below, weight, cut)
 
@@ -427,7 +429,7 @@ def _follow(rows: pa.Table) -> pa.Table:
             own = np.flatnonzero((x.first == w) & (x.weight > 0))
             if len(own):
                 symbol, at, n = np.unique(x.number[own], return_index=True, return_counts=True)
-                out.append((w, common[w], _pack(np.diff(symbol, prepend=0).astype(np.uint32)), _pack(n.astype(np.int64)), _pack(x.below[own[at]])))
+                out.append((w, common[w], _pack(np.diff(symbol, prepend=0).astype(np.uint32)), _pack(n.astype(np.int64)), _pack(x.below[own[at]].astype(float))))
     return pa.Table.from_batches([_binary(out, _FOLLOW)])
 
 
@@ -439,10 +441,16 @@ def _level(parts: int):
 
     def run(rows: pa.Table) -> pa.Table:
         got = rows.to_pylist()
-        symbol = np.concatenate([np.cumsum(_unpack(r["symbols"], np.uint32), dtype=np.uint32) for r in got])
-        symbol, at, which = np.unique(symbol, return_index=True, return_inverse=True)
-        n = np.bincount(which, np.concatenate([_unpack(r["counts"], np.int64) for r in got]))
-        below, total = np.concatenate([_unpack(r["below"], float) for r in got])[at], n.sum()
+        symbol, n, below = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0)
+        for r in got:  # one after the other, so that no more than two lists are here at once
+            every = np.concatenate([symbol, np.cumsum(_unpack(r["symbols"], np.uint32), dtype=np.uint32)])
+            more = np.concatenate([n, _unpack(r["counts"], np.int64)])
+            below = np.concatenate([below, _unpack(r["below"], float)])
+            by = np.argsort(every, kind="stable")
+            every = every[by]
+            at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            symbol, n, below = every[at], np.add.reduceat(more[by], at), below[by[at]]
+        total = n.sum()
         gain = float(gains(n, np.full(len(n), total), below, np.zeros(len(n), np.int64), 1)[0])
         w, packed = got[0]["first"], (_pack(np.diff(symbol, prepend=0).astype(np.uint32)), _pack(n.astype(np.int64)))
         deal = np.unique(_dealt(np.full(got[0]["deals"], w), np.arange(got[0]["deals"]), parts))
@@ -462,8 +470,16 @@ def _read(rows: pa.Table, common: pa.Table) -> pa.Table:
     if got:
         given = {r["first"]: Given(np.cumsum(_unpack(r["symbols"], np.uint32), dtype=np.uint32), _unpack(r["counts"], np.int64), r["total"], r["kinds"], r["gain"]) for r in common.to_pylist()}
         x = _positions(got)
-        second = np.where(x.second == _NONE, -1, x.second.astype(np.int64))
-        logs = np.log10(in_contexts(x.number, x.weight, [x.first.astype(np.int64), second], x.below, given))
+        logs = np.empty(len(x.first), np.float64)
+        by = np.argsort(x.first, kind="stable")
+        edge = np.flatnonzero(np.diff(x.first[by])) + 1
+        at = 0
+        while at < len(by):  # the positions after some words at once
+            to = int(edge[i]) if (i := int(np.searchsorted(edge, at + _AT_ONCE))) < len(edge) else len(by)
+            own = by[at:to]
+            second = np.where(x.second[own] == _NONE, -1, x.second[own].astype(np.int64))
+            logs[own] = np.log10(in_contexts(x.number[own], x.weight[own], [x.first[own].astype(np.int64), second], x.below[own].astype(float), given))
+            at = to
         for r, a, b in zip(got, x.cut[:-1], x.cut[1:], strict=True):
             used, place = np.unique(_unpack(r["places"], np.uint16), return_inverse=True)
             out.append((r["chunk"], _pack(np.diff(used, prepend=np.uint16(0))), _pack(np.bincount(place, logs[a:b])), None, None))
