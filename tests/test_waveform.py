@@ -1,14 +1,17 @@
 """Round trips of trace files, with pruning, aliases, reals, texts and several blocks; FastLZ by hand-made data."""
 
 import gzip
+import pickle
 import re
 import struct
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators import trace as T
 from tracemill.sources import blocks as B
+from tracemill.sources import waveform as W
 from tracemill.sources.waveform import read_trace, write_trace
 
 VAR = dict.fromkeys("subtype_code component arg arg_from_name".split())
@@ -125,6 +128,56 @@ def test_writer_of_many_blocks(spark, tmp_path):
     assert read_trace(spark, out).changes.count() == 0
 
 
+def test_writer_of_many_signals(spark, tmp_path, monkeypatch):
+    """Blocks are as many as signals allow, states come by ranges of signals, records and toggles by tasks; no content goes through the driver."""
+    monkeypatch.setattr(W, "_STATES", 20_000)
+    monkeypatch.setattr(W, "_WHOLE", 1000)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    path, out, n = str(tmp_path / "t.trace"), str(tmp_path / "c.trace"), 300
+    hier = [VAR | {"kind": "var", "type_code": 21 if i % 7 == 0 else 3 if i % 5 == 0 else 16, "direction_code": 0, "name": f"s{i}", "length": 8 if i % 5 == 0 else 1 + i % 9, "handle": i, "is_alias": False} for i in range(1, n + 1)]
+    widths = B.widths_of(hier)
+    value = lambda h, t: struct.pack("<d", t / 3) if widths[h - 1] == 0 else f"x{t}".encode() if widths[h - 1] == B.TEXT_LENGTH else bin(t * 7919 + h | 1 << 20)[-widths[h - 1] :].encode()
+    changes = [(t // 3, t * 37 % 211 + 1, value(t * 37 % 211 + 1, t)) for t in range(900)]
+    toggles = [(t * t, t % 2 == 1) for t in range(60)]
+    with open(path, "wb") as f:
+        f.writelines(B.file_bytes({"start_time": 0}, hier, changes, toggles))
+    trace = read_trace(spark, path)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small parts stay apart
+    try:
+        write_trace(trace, out, block_changes=10)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    with open(out, "rb") as f:
+        file = B.File(f)
+        assert not {"widths", "hierarchy", "blackouts"} & set(vars(file))  # they are read when they are asked for
+        assert 3 < len(file.values) <= 900 // (n // W.SIGNALS_A_CHANGE)
+        state = {}
+        for i in range(len(file.values)):
+            got = list(B.block_changes(file, i, None, True))
+            shown = {r[1]: r[4] for r in got if r[7]}
+            assert len(shown) == sum(w != B.TEXT_LENGTH for w in widths)
+            assert all(shown[h] == state.get(h, struct.pack("<d", float("nan")) if widths[h - 1] == 0 else b"x" * len(shown[h])) for h in shown)
+            state |= {r[1]: r[4] for r in got if not r[7]}
+        assert [x[1:] for x in file.blackouts] == toggles and file._records[0] == B.HIERARCHY
+    again = read_trace(spark, out)
+    rows = lambda t: sorted(map(str, t.changes.select("time", "handle", "raw").collect()))
+    assert rows(again) == rows(trace) and again.hier.collect() == trace.hier.collect() and len(rows(again)) == 900
+    assert not list(tmp_path.glob("*.p*"))
+    with pytest.raises(T.TraceError):
+        write_trace(T.Trace(trace.metadata, trace.hier, trace.changes.withColumn("handle", F.lit(n + 1)), trace.blackouts), out)
+
+
+def test_selection_in_bits(tmp_path):
+    """A selection of signals travels to each block's task as a bit for each handle."""
+    path, n = tmp_path / "t.trace", 4000
+    hier = [VAR | {"kind": "var", "type_code": 16, "direction_code": 0, "name": f"s{i}", "length": 1, "handle": i, "is_alias": False} for i in range(1, n + 1)]
+    path.write_bytes(b"".join(B.file_bytes({"start_time": 0}, hier, [(t, t * 7 % n + 1, b"1") for t in range(500)])))
+    (part,) = W._Reader(str(path), {"signals": "[13579]$"}).partitions()
+    assert len(pickle.dumps(part)) < n // 8 + 1000
+    assert [h for h in range(n + 99) if h in part.wanted] == list(range(1, n + 1, 2))
+    assert 5 not in B.Handles([]) and 5 in B.Handles([900, 5])
+
+
 def _records(hier):
     """kind, name, path and depth of the records in order, as a reader sees them."""
     return [(r.kind, r.name, r.path, r.depth) for r in hier.orderBy("ord").collect()]
