@@ -427,6 +427,17 @@ def test_scores(docs, nothing, corpus):
     assert suffix_tree.score_documents(nothing).count() == 0
 
 
+def test_base_scores(docs, nothing, spark, monkeypatch):
+    """The columns without the tree are those of score_documents, and no tree is grown for them."""
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    rows = lambda df: sorted(map(str, df.select(columns).collect()))
+    want = rows(suffix_tree.score_documents(docs))
+    monkeypatch.setattr(suffix_tree, "_pairs", None)
+    assert rows(suffix_tree.base_scores(docs)) == want
+    assert suffix_tree.base_scores(nothing).count() == 0
+    assert suffix_tree.lm_bases(spark, "/root/testdata/sf0.001").columns == columns
+
+
 def _spelling(counts, texts_):
     """A brute-force tree over the bytes of words: log10 of a word's probability, and of a text's end."""
     spell = lambda w: [258, *(w or "").encode(), 256] if w is not None else [258, 257]

@@ -334,6 +334,34 @@ def _shares(parts: int, numbers: dict[int, int], pairs):
 _PLACE = "part int, chunk long, first binary, second binary, numbers binary, below binary, trained binary, places binary, common binary, ids binary, sums binary"
 
 
+def _counts(rows: pa.Table) -> pa.Table:
+    """A part of the vocabulary, and all its runs' places -> for each step its words' counts."""
+    got = rows.to_pylist()
+    count = _unpack(next(r for r in got if r["chunk"] is None)["counts"], np.int64)
+    out = [(r["part"], r["chunk"], r["sign"], None, _pack(count[np.cumsum(_unpack(r["places"], np.uint32), dtype=np.int64)]), None, None, None) for r in got if r["chunk"] is not None]
+    return pa.Table.from_batches([_binary(out, _META)])
+
+
+def _step(rows: pa.Table) -> tuple[dict, list[dict]]:
+    """One step's own row, and its shares by part."""
+    got = sorted(rows.to_pylist(), key=lambda r: -1 if r["part"] is None else r["part"])
+    meta = got.pop(0)
+    if meta["part"] is not None or (meta["sign"] - sum(r["sign"] for r in got)) % (1 << 64):
+        raise ValueError("the documents were not the same when they were read again")
+    return meta, got
+
+
+def _bases(rows: pa.Table) -> pa.Table:
+    """All shares of one step -> a row for each of its documents, with what needs no tree."""
+    meta, got = _step(rows)
+    ids, valid, held, n = np.frombuffer(meta["ids"], np.int64).reshape(4, -1)
+    count = np.concatenate([np.empty(0, np.int64), *(_unpack(r["counts"], np.int64) for r in got)])
+    token = _unpack(meta["tokens"], np.uint16 if len(count) <= 1 << 16 else np.uint32)
+    text = np.repeat(np.arange(len(n)), n)
+    known, bases = (np.bincount(text, x[token], minlength=len(n)) for x in (count > 0, np.log10(count + 0.5)))
+    return pa.table({"doc_id": pa.array(ids, mask=valid == 0), "held_out": pa.array(held == 1), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(known).astype(np.int64)), "base_sum": pa.array(bases.astype(float))})
+
+
 def _places(parts: int, end: float, total: int, v: int, train: int, together: int):
     """All shares of one step -> its positions by part of the word before, and a row for its documents with what they have without contexts.
 
@@ -344,10 +372,7 @@ def _places(parts: int, end: float, total: int, v: int, train: int, together: in
     """
 
     def run(rows: pa.Table) -> pa.Table:
-        got = sorted(rows.to_pylist(), key=lambda r: -1 if r["part"] is None else r["part"])
-        meta = got.pop(0)
-        if meta["part"] is not None or (meta["sign"] - sum(r["sign"] for r in got)) % (1 << 64):
-            raise ValueError("the documents were not the same when they were read again")
+        meta, got = _step(rows)
         held, n = np.frombuffer(meta["ids"], np.int64).reshape(4, -1)[2:]
         number = np.concatenate([np.empty(0, np.int64), *(np.cumsum(_unpack(r["numbers"], np.uint32), dtype=np.int64) for r in got)])
         count, logs = (np.concatenate([np.empty(0, t), *(_unpack(r[c], t) for r in got)]).astype(k) for c, t, k in (("counts", np.int64, np.int64), ("logs", np.float32, float)))
@@ -501,6 +526,44 @@ def _totals(rows: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, mask=valid == 0), "held_out": pa.array(held == 1), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(known).astype(np.int64)), "base_sum": pa.array(bases), "score": pa.array(score)})
 
 
+class _Counted(NamedTuple):
+    """Documents and their vocabulary: of training, the documents, all tokens and the distinct ones."""
+
+    rows: DataFrame
+    merged: DataFrame
+    vocabulary: DataFrame
+    parts: int
+    train: int
+    n: int
+    v: int
+
+
+def _counted(docs: DataFrame, folds: int, fold: int) -> _Counted:
+    parts = fragments(docs)
+    held = F.coalesce(F.crc32(docs["doc_id"].cast("long").cast("string").cast("binary")) % folds == fold, F.lit(False))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), held.alias("held_out"), F.spark_partition_id().alias("task"))
+    train = rows.where(~F.col("held_out")).count()
+    merged = materialize(rows.mapInArrow(_runs(parts), _RUN).groupBy("part").applyInArrow(_merged, _PART))
+    vocabulary = merged.where("chunk is null").select("part", "words", "lengths", "counts", "tokens", "known")
+    total = vocabulary.agg(F.sum("tokens").alias("n"), F.sum("known").alias("v")).first()
+    return _Counted(rows, merged, vocabulary, parts, train, (total.n or 0) + train, (total.v or 0) + (train > 0))
+
+
+def _finished(sums: DataFrame, train: int, n: int, v: int) -> DataFrame:
+    """The end of each text is a token too."""
+    tokens = F.col("n_tokens") + 1
+    base = F.col("base_sum") + math.log10(train + 0.5) - tokens * F.lit(math.log10(n + 0.5 * (v + 1)))
+    return sums.select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + int(train > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), *(c for c in sums.columns if c == "score"))
+
+
+def base_scores(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
+    """score_documents without the tree's score: the same vocabulary and counts, and no tree is grown."""
+    x = _counted(docs, folds, fold)
+    counts = x.merged.select("part", "chunk", "sign", "places", "counts").groupBy("part").applyInArrow(_counts, _META)
+    sums = counts.union(x.rows.mapInArrow(_tokens, _META)).groupBy("chunk").applyInArrow(_bases, _RESULT.removesuffix(", score double"))
+    return _finished(sums, x.train, x.n, x.v)
+
+
 def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, together: int = TOGETHER) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -514,14 +577,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, together: in
     empty result.
     """
     spark = docs.sparkSession
-    parts = fragments(docs)
-    held = F.coalesce(F.crc32(docs["doc_id"].cast("long").cast("string").cast("binary")) % folds == fold, F.lit(False))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), held.alias("held_out"), F.spark_partition_id().alias("task"))
-    train = rows.where(~F.col("held_out")).count()
-    merged = materialize(rows.mapInArrow(_runs(parts), _RUN).groupBy("part").applyInArrow(_merged, _PART))
-    vocabulary = merged.where("chunk is null").select("part", "words", "lengths", "counts", "tokens", "known")
-    total = vocabulary.agg(F.sum("tokens").alias("n"), F.sum("known").alias("v")).first()
-    n, v = (total.n or 0) + train, (total.v or 0) + (train > 0)
+    rows, merged, vocabulary, parts, train, n, v = _counted(docs, folds, fold)
     pairs = _pairs(vocabulary, train)
     end = (train + v * pairs[_BEGIN, _END_TEXT]) / (n + v) if v else pairs[_BEGIN, _END_TEXT]
     pairs = spark.sparkContext.broadcast(pairs)
@@ -541,9 +597,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, together: in
     places = shares.union(rows.mapInArrow(_tokens, _META)).groupBy("chunk").applyInArrow(_places(deals, float(end), n, v, train, together), _PLACE)
     level = places.groupBy("part").applyInArrow(_follow, _FOLLOW).groupBy("first").applyInArrow(_level(deals), _LEVEL)
     sums = places.groupBy("part").cogroup(level.groupBy("part")).applyInArrow(_read, _READ).groupBy("chunk").applyInArrow(_totals, _RESULT)
-    tokens = F.col("n_tokens") + 1
-    base = F.col("base_sum") + math.log10(train + 0.5) - tokens * F.lit(math.log10(n + 0.5 * (v + 1)))
-    return sums.select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + int(train > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return _finished(sums, train, n, v)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -551,8 +605,8 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lm_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can express of op5: the tokens and the base score, in six decimals, over the whole table."""
-    return op5_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+    """What SQL can express of op5: the tokens and the base score, in six decimals, over the whole table. None of it needs the tree."""
+    return base_scores(documents(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
 
 
 BASES_ORACLE = r"""
